@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tagwatch.llm.scratch import blocks, map_arrow
-from tagwatch.llm.tokens import encoder, texts_of, with_end
+from tagwatch.llm.tokens import encoder, with_end
 
 WINDOW = 2048
 #: Rests packed together; beyond it, or beyond REACH_BYTES of ids, a task starts over, so its memory is bounded.
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, window: int = WINDOW) ->
             base += len(used)
 
         for batch in blocks(batches):
-            ids, counts = with_end(*own.encode(texts_of(batch.column(1))), end)
+            ids, counts = with_end(*own.encode(batch.column(1).to_pylist()), end)
             held.append((batch.column(0).to_pylist(), ids, counts))
             rests += len(counts)
             size += ids.nbytes

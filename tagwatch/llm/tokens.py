@@ -1,107 +1,124 @@
 """Token ids of whole texts, by the tokenizers library, with remembered pieces.
 
 Both supported vocabularies split a text into pieces by a pattern and encode
-each piece on its own.  Cutting the text first at coarser, always safe places
-and remembering the ids of what lies between gives the same ids; the tests
-compare them with those of whole texts.
+each piece on its own.  Splitting first by the same pattern, and encoding only
+pieces not met before, gives the same ids; the tests compare them with those of
+whole texts.  New words go to the library many at a time, as one text.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
-import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Control characters that Python's patterns take as white space and the tokenizers' do not.
-_ODD = re.compile("[\x1c-\x1f\x85]")
-#: An optional single space and what follows up to white space; else white space.
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: A word of letters with the marks after it: two pieces in either vocabulary.
-_WORD_MARKS = re.compile(r"( ?[^\W\d_]+)([.,;:!?%&*#$)]*)")
-#: Letters that both libraries lower in the same way and that do not compose further.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+# The vocabularies' split patterns, the commonest alternative first: fixed values.
+_SPACED = re.compile(r" ?[^\W\d_]+|'(?:[sdmt]|ll|ve|re)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LOWERED = re.compile(r"[^\W\d_]+|'(?:[sdmt]|ll|ve|re)|\d|(?:[^\s\w]|_)+")
+
+
+#: Latin-1 characters that Python's classes and the tokenizers' put alike; both libraries lower them alike, too.
+_ALIKE = bytes(b for b in range(256) if b not in b"\x1c\x1d\x1e\x1f\x85\xaa\xb2\xb3\xb5\xb9\xba\xbc\xbd\xbe")
+#: Unicode categories of which that is not so: numbers other than digits, what only one of them may know.
+_UNLIKE = frozenset(("Nl", "No", "Cn"))
+
+
+def split_alike(text: str, lower: bool) -> bool:
+    """Whether the patterns below split a text as the tokenizers do."""
+    if "<|" in text:  # it may hold a special token
+        return False
+    try:
+        return not text.encode("latin-1").translate(None, _ALIKE)
+    except UnicodeEncodeError:
+        if lower:  # lower-casing and composing differ beyond Latin-1
+            return False
+    own = set(text)
+    return own.isdisjoint("\x1c\x1d\x1e\x1f\x85") and not any(unicodedata.category(c) in _UNLIKE for c in own)
 
 
 class PieceIds:
     """piece -> ids, in one growing pool; forgotten altogether beyond ``limit`` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], dtype: type, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: type, limit: int = 1_000_000):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.pool = np.empty(1 << 16, self.dtype)
-        self.ends, self.used = [0], 0
-        self._ends = np.zeros(1, np.int64)
-
-    def _append(self, ids) -> None:
-        n = len(ids)
-        if self.used + n > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.empty(max(n, len(self.pool)), self.dtype)))
-        self.pool[self.used : self.used + n] = ids
-        self.used += n
-        self.ends.append(self.used)
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces, which ids() turns into ids before the next call."""
+        self.starts, self.counts = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.used = 0
+
+    def _add(self, new: list[str]) -> None:
+        ids, counts = self.encode(new)
+        n = len(self.index)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        while n + len(new) > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
+            self.counts = np.concatenate((self.counts, np.empty_like(self.counts)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + len(new)] = self.used + np.cumsum(counts) - counts
+        self.counts[n : n + len(new)] = counts
+        self.used += len(ids)
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in order, and how many each has."""
         if len(self.index) > self.limit:
             self.clear()
-        get = self.index.get
-        at = np.array(list(map(get, pieces)), dtype=float)
-        missing = np.flatnonzero(np.isnan(at)).tolist()
+        at = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = list(dict.fromkeys(pieces[k] for k in missing))
-            for piece, ids in zip(new, self.encode(new), strict=True):
-                self.index[piece] = len(self.ends) - 1
-                self._append(ids)
-            at[missing] = [self.index[pieces[k]] for k in missing]
-        return at.astype(np.int64)
-
-    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the numbered pieces in order, and how many each has."""
-        if len(self._ends) != len(self.ends):
-            self._ends = np.array(self.ends)
-        starts, counts = self._ends[at], self._ends[at + 1] - self._ends[at]
-        shift = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-        return self.pool[shift + np.arange(len(shift))], counts
+            unknown = [pieces[k] for k in missing]
+            self._add(list(dict.fromkeys(unknown)))
+            at[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
+        starts, counts = self.starts[at], self.counts[at]
+        shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        shift += np.arange(len(shift))
+        return self.pool[shift], counts
 
 
 class TextEncoder:
     """ids of whole texts.  lower: a vocabulary that drops white space and lower-cases."""
 
+    #: New words in one text.
+    TOGETHER = 256
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.words = PieceIds(self._direct, self.dtype, 200_000)
-        self.pieces = PieceIds(self._split, self.dtype)
-
-    def _direct(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _split(self, pieces: list[str]) -> list[list[int]]:
-        """Pieces as a word and its marks, which recur far more often than both together."""
-        parts: list[str] = []
-        counts = []
-        for piece in pieces:
-            match = _WORD_MARKS.fullmatch(piece)
-            if match and (not self.lower or _PLAIN.fullmatch(piece)):
-                word, marks = match.groups()
-                parts.append(word.lower() if self.lower else word)
-                if marks:
-                    parts.append(marks)
-                counts.append(1 + bool(marks))
-            else:
-                parts.append(piece)
-                counts.append(1)
-        ids, lengths = self.words.ids(self.words.places(parts))
-        ends = np.cumsum(lengths)[np.cumsum(counts) - 1].tolist()
-        flat = ids.tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self.pieces = PieceIds(self._new, self.dtype)
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # pieces that can stand next to one another in one text
+        joined = np.array([p.isalpha() for p in pieces] if self.lower else [p[0] == " " and p[1:].isalpha() for p in pieces])
+        out: list[np.ndarray | list[int] | None] = [None] * len(pieces)
+        at = np.flatnonzero(joined).tolist()
+        groups = [at[k : k + self.TOGETHER] for k in range(0, len(at), self.TOGETHER)]
+        single = np.flatnonzero(~joined).tolist()
+        mark = " " if self.lower else ""
+        for group, found in zip(groups, self._encoded([mark.join(pieces[k] for k in g) for g in groups]), strict=True):
+            words = np.array(found.word_ids)
+            ends = np.append(np.flatnonzero(np.diff(words)) + 1, len(words)).tolist()
+            if len(ends) != len(group):
+                single += group
+                continue
+            ids = found.ids
+            for k, a, b in zip(group, [0, *ends], ends, strict=False):
+                out[k] = ids[a:b]
+        for k, found in zip(single, self._encoded([pieces[k] for k in single]), strict=True):
+            out[k] = found.ids
+        counts = np.fromiter(map(len, out), np.int64, len(out))
+        return np.array(list(chain.from_iterable(out)), self.dtype), counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; a null is an empty text."""
@@ -110,14 +127,16 @@ class TextEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            own = [text] if "<|" in text or _ODD.search(text) else text.split() if self.lower else _SPACED.findall(text)
+            if not split_alike(text, self.lower):
+                own = [text]
+            else:
+                own = _LOWERED.findall(text.lower()) if self.lower else _SPACED.findall(text)
             counts[k] = len(own)
             pieces += own
         if not pieces:
             return np.empty(0, self.dtype), counts
-        ids, lengths = self.pieces.ids(self.pieces.places(pieces))
-        at = np.concatenate(([0], np.cumsum(lengths)))
-        ends = at[np.cumsum(counts)]
+        ids, lengths = self.pieces.ids(pieces)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts)]
         return ids, np.diff(np.concatenate(([0], ends)))
 
 
@@ -134,7 +153,3 @@ def encoder(path: str) -> TextEncoder:
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text."""
     return np.insert(ids, np.cumsum(counts), end), counts + 1
-
-
-def texts_of(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()

@@ -2,8 +2,9 @@
 
 A shard file is a Parquet file of segments.  A segment holds whole documents in
 ascending order of doc_id (about SEGMENT ids, or one document): its document
-ids and lengths, and the bit planes of the wavelet matrix over its ids, the
-top bit first, compressed.  Spark's own writer commits the files, so a lost
+ids and lengths, its alphabet (the ids that occur, ascending), and the bit
+planes of the wavelet matrix over places in that alphabet, the top bit first,
+compressed.  Spark's own writer commits the files, so a lost
 executor leaves no half file and any store that Spark knows can hold them.
 
 Defined results: a null text is empty and so is the end id alone; a null
@@ -23,12 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagwatch.llm.scratch import blocks, map_arrow
-from tagwatch.llm.tokens import encoder, texts_of, with_end
+from tagwatch.llm.tokens import encoder, with_end
 from tagwatch.llm.wavelet_matrix import WaveletMatrix
 
 SEGMENT = 2_000_000
-WIDTH = 16
-FILE = "shard int, segment int, n_docs long, n_tokens long, doc_ids binary, lengths binary, planes binary"
+FILE = "shard int, segment int, n_docs long, n_tokens long, doc_ids binary, lengths binary, alphabet binary, planes binary"
 
 
 def bounds_of(docs: DataFrame, shards: int) -> list[int]:
@@ -49,7 +49,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in blocks(batches):
-            ids, counts = with_end(*own.encode(texts_of(batch.column(1))), end)
+            ids, counts = with_end(*own.encode(batch.column(1).to_pylist()), end)
             data, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
             doc_ids = batch.column(0)
             shard = np.searchsorted(bounds, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
@@ -68,8 +68,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
             ids = np.frombuffer(b"".join(held), np.uint16)
             lengths = np.array([len(x) // 2 for x in held], "<u4")
             named = _ids_bytes(doc_ids, zip_)
-            planes = zip_.compress(WaveletMatrix.build(ids, WIDTH).to_bytes())
-            row = [shard, segment, len(held), len(ids), named, zip_.compress(lengths.tobytes()), planes]
+            occurs = np.bincount(ids, minlength=1 << 16) > 0
+            alphabet = np.flatnonzero(occurs).astype("<u2")
+            places = (np.cumsum(occurs) - 1).astype(np.uint16)[ids]
+            planes = zip_.compress(WaveletMatrix.build(places, width_of(alphabet)).to_bytes())
+            row = [shard, segment, len(held), len(ids), named, zip_.compress(lengths.tobytes()), zip_.compress(alphabet.tobytes()), planes]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
@@ -93,7 +96,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
 
 
 _NAMES = [c.split()[0] for c in FILE.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def width_of(alphabet: np.ndarray) -> int:
+    return max(1, (len(alphabet) - 1).bit_length())
 
 
 def _ids_bytes(doc_ids: list[int | None], zip_: zstandard.ZstdCompressor) -> bytes:
@@ -112,7 +119,28 @@ class Segment:
         null = np.frombuffer(named[:n], np.uint8)
         self.doc_ids = [None if z else d for z, d in zip(null.tolist(), np.frombuffer(named[n:], "<i8").tolist(), strict=True)]
         self.lengths = np.frombuffer(unzip(row["lengths"]), "<u4").astype(np.int64)
-        self.tokens = WaveletMatrix.from_bytes(unzip(row["planes"]), row["n_tokens"], WIDTH)
+        self.alphabet = np.frombuffer(unzip(row["alphabet"]), "<u2")
+        self.tokens = WaveletMatrix.from_bytes(unzip(row["planes"]), row["n_tokens"], width_of(self.alphabet))
+
+    def all(self) -> np.ndarray:
+        return self.alphabet[self.tokens.all()]
+
+    def access(self, at: np.ndarray) -> np.ndarray:
+        """The ids at some positions."""
+        return self.alphabet[self.tokens.access(at)[0]]
+
+    def _place(self, token: int) -> int | None:
+        place = int(np.searchsorted(self.alphabet, token))
+        return place if place < len(self.alphabet) and self.alphabet[place] == token else None
+
+    def count(self, token: int) -> int:
+        place = self._place(token)
+        return 0 if place is None else int(self.tokens.rank(np.array([place]), np.array([self.tokens.n]))[0])
+
+    def locate(self, token: int) -> np.ndarray:
+        """Positions of a token id in the segment."""
+        place = self._place(token)
+        return np.empty(0, np.int64) if place is None else self.tokens.locate(place)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -122,7 +150,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 opened = Segment(row)
-                wide = memoryview(opened.tokens.all().astype("<u4")).cast("B")
+                wide = memoryview(opened.all().astype("<u4")).cast("B")
                 ends = np.cumsum(opened.lengths)
                 starts = ends - opened.lengths
                 n = len(ends)
@@ -166,8 +194,7 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens = Segment(row).tokens
-                n = int(tokens.rank(np.array([token]), np.array([tokens.n]))[0])
+                n = Segment(row).count(token)
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([row["segment"]], pa.int32()), pa.array([n], pa.int64())], names=["shard", "segment", "n"])
 
     return map_arrow(spark.read.schema(FILE).parquet(path), count, "shard int, segment int, n long")

@@ -64,13 +64,23 @@ def _shifted(half: Column, other: Column, key: str, turn: int) -> Column:
     )
 
 
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def _round(key: str, turn: int) -> Callable[[Column], Column]:
+    """One turn: the halves move alternately."""
+    if turn % 2 == 0:
+        return lambda x: _pair(_shifted(x["a"], x["b"], key, turn), x["b"])
+    return lambda x: _pair(x["a"], _shifted(x["b"], x["a"], key, turn))
+
+
 def feistel(symbols: Column, key: str) -> Column:
     """A keyed permutation of symbol arrays that have the same bases and radices."""
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     cut = F.ceil(F.size(symbols) / 2).cast("int")
-    state = _let(symbols, lambda s: pair(F.slice(s, 1, cut), F.slice(s, cut + 1, F.size(s))))
+    state = _let(symbols, lambda s: _pair(F.slice(s, 1, cut), F.slice(s, cut + 1, F.size(s))))
     for turn in range(ROUNDS):
-        state = _let(state, lambda x, t=turn: pair(_shifted(x["a"], x["b"], key, t), x["b"]) if t % 2 == 0 else pair(x["a"], _shifted(x["b"], x["a"], key, t)))
+        state = _let(state, _round(key, turn))
     return _let(state, lambda x: F.concat(x["a"], x["b"]))
 
 

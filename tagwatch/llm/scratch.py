@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tagwatch.plans.shipping import ship
+
 #: Rows in an Arrow batch: bounds a worker's memory when texts are long.
 BATCH_ROWS = 500
 
@@ -51,6 +53,8 @@ def release(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Before any Python kernel: the package on the workers, and batches of BATCH_ROWS."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -93,7 +93,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.pieces = PieceIds(self._new, self.dtype)
+        self.words = PieceIds(self._new, self.dtype, 600_000 if self.lower else 1_000_000)
+        self.pieces = PieceIds(self._split, self.dtype) if self.lower else self.words
 
     def _encoded(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -120,6 +121,17 @@ class TextEncoder:
         counts = np.fromiter(map(len, out), np.int64, len(out))
         return np.array(list(chain.from_iterable(out)), self.dtype), counts
 
+    def _split(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks between white space as their words and marks."""
+        parts: list[str] = []
+        sizes = np.empty(len(chunks), np.int64)
+        for k, chunk in enumerate(chunks):
+            own = [chunk] if chunk.isalpha() else _LOWERED.findall(chunk) if split_alike(chunk, True) else [chunk]
+            sizes[k] = len(own)
+            parts += own
+        ids, lengths = self.words.ids(parts)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has; a null is an empty text."""
         pieces: list[str] = []
@@ -130,7 +142,7 @@ class TextEncoder:
             if not split_alike(text, self.lower):
                 own = [text]
             else:
-                own = _LOWERED.findall(text.lower()) if self.lower else _SPACED.findall(text)
+                own = text.lower().split() if self.lower else _SPACED.findall(text)
             counts[k] = len(own)
             pieces += own
         if not pieces:

@@ -2,8 +2,10 @@
 
 Token scores are log-odds between the toxic and the other labelled documents
 with an informative Dirichlet prior (Monroe et al. 2008), over the distinct
-texts of a bounded sample of labelled rows; tokens whose log-odds are not
-significant share one negative drift.  In every document, the algorithm of
+texts of a bounded sample of labelled rows.  A token is a word or, for words
+that inflect or compound, a leading part of one; a word scores as its longest
+part whose log-odds are significant by documents, and any other word the same
+negative drift.  In every document, the algorithm of
 Ruzzo and Tompa (1999) finds all maximal scoring segments in linear time.  By
 extreme-value statistics (Karlin and Altschul 1990) a segment of score S among
 n words has E = K n exp(-lambda S) rivals by chance; -ln E, where positive, is
@@ -22,6 +24,7 @@ its mean label, and so do equal texts.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +41,10 @@ from tagwatch.llm.words import alnum_words
 MAX_LABELLED = 20_000
 #: Significance (in standard errors) from which a token's log-odds count.
 Z_LEAST = 4.0
-#: Weight of the prior, in documents.
-PRIOR = 2.0
+#: The prior: so many tokens dealt out by the corpus' rates, and FLOOR for each token besides.
+PRIOR, FLOOR = 50.0, 0.5
+#: Lengths in bytes of the leading parts of words that are tokens, too.
+PARTS = (4, 5, 6, 7, 8)
 #: Score of any other word, so that a passage ends some tens of words after its last telling token.
 DRIFT = -0.08
 #: Telling tokens that a model can have; beyond, the least significant are left out (a size of the model, not of the data).
@@ -98,10 +103,29 @@ def maximal_segments(scored: list[tuple[int, float]], drift: float = DRIFT) -> l
     return [(s, e, r - l) for s, e, l, r, _ in found]
 
 
-def scored_words(words: list[bytes], terms: dict[bytes, float]) -> list[tuple[int, float]]:
-    if terms.keys().isdisjoint(words):
-        return []
-    return [(k, terms[w]) for k, w in enumerate(words) if w in terms]
+def tokens_of(word: bytes) -> list[bytes]:
+    """The word itself and its leading parts, which end in *; longest first."""
+    return [word, *(word[:k] + b"*" for k in reversed(PARTS) if k < len(word))]
+
+
+class WordScores(dict):
+    """word -> score of its longest telling token, or 0; remembered up to ``limit`` words."""
+
+    def __init__(self, terms: dict[bytes, float], limit: int = 500_000):
+        super().__init__()
+        self.terms, self.limit = terms, limit
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= self.limit:
+            self.clear()
+        score = self[word] = next((self.terms[t] for t in tokens_of(word) if t in self.terms), 0.0)
+        return score
+
+    def of(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """(position, score) of the telling words."""
+        scores = np.fromiter(map(self.__getitem__, words), float, len(words))
+        at = np.flatnonzero(scores)
+        return list(zip(at.tolist(), scores[at].tolist(), strict=True))
 
 
 def _lambda(rates: np.ndarray, scores: np.ndarray) -> float:
@@ -139,42 +163,79 @@ def sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
 
 
 def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row per distinct text of the sample: its words and mean label."""
+    """The words and mean label of each distinct text of the sample; of near copies, one stays.
+
+    Copies would make any word of theirs look telling.  Near copies are told by the least hashes of their
+    word 5-grams, by either of two hash functions.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            texts = as_binary(batch.column(0))
-            keys = [xxhash.xxh3_128_digest(t or b"") for t in texts]
-            words = [b" ".join(alnum_words(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(1), pa.array(words, pa.binary())], names=["key", "y", "words"])
+            words = [alnum_words(t) for t in as_binary(batch.column(0))]
+            joined = [b" ".join(w) for w in words]
+            grams = [[b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] for w in words]
+            marks = [[min(xxhash.xxh3_64_intdigest(g, seed=s) for g in own) >> 1 for own in grams] for s in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(m, pa.int64()) for m in marks), batch.column(1), pa.array(joined, pa.binary())], names=["m1", "m2", "y", "words"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")  # chosen has MAX_LABELLED rows at most
-    rows = map_arrow(joined, kernel, "key binary, y double, words binary")
-    return rows.groupBy("key").agg(F.avg("y").alias("y"), F.min("words").alias("words"))
+    rows = map_arrow(joined, kernel, "m1 long, m2 long, y double, words binary")
+    rows = rows.groupBy("m1", "m2", "words").agg(F.avg("y").alias("y"))
+    for mark in ("m1", "m2"):
+        least = F.min(F.struct("words", "y", "m2")).alias("r")
+        rows = rows.groupBy(mark).agg(least).select("r.words", "r.y", "r.m2")
+    return rows.select("words", "y")
+
+
+def _counts(texts: DataFrame) -> DataFrame:
+    """(token, documents and occurrences in toxic and in clean texts)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            sums: dict[bytes, list[float]] = {}
+            for data, y in zip(as_binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                own = Counter(t for w, n in Counter(data.split()).items() for t in tokens_of(w) for _ in range(n))
+                for token, n in own.items():
+                    s = sums.setdefault(token, [0.0, 0.0, 0.0, 0.0])
+                    s[0] += y
+                    s[1] += 1 - y
+                    s[2] += y * n
+                    s[3] += (1 - y) * n
+            columns = zip(*sums.values(), strict=True) if sums else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), *(pa.array(list(c), pa.float64()) for c in columns)], names=["token", "t", "c", "nt", "nc"])
+
+    rows = map_arrow(texts.select("words", "y"), kernel, "token binary, t double, c double, nt double, nc double")
+    return rows.groupBy("token").agg(*[F.sum(k).alias(k) for k in ("t", "c", "nt", "nc")])
+
+
+def _odds(count: Column, total: Column, prior: Column) -> Column:
+    return F.log((count + prior) / (total + 2 * FLOOR + PRIOR - count - prior + FLOOR))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     texts = cut(_texts(docs, sample(labels, most)), "toxicity-sample")
-    y, n = texts.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count("*")).first()
-    if y == 0 or y == n:
+    size = F.size(F.split(F.col("words").cast("string"), " "))
+    sums = texts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in (F.col("y"), 1 - F.col("y"), F.col("y") * size, (1 - F.col("y")) * size)]).first()
+    if not sums[0] or not sums[1]:
         drop(texts)
         return Model({}, 1.0, 1.0, -math.inf, 0.0)
-    distinct = F.array_distinct(F.filter(F.split(F.col("words").cast("string"), " "), lambda w: w != ""))
-    counts = texts.select("y", F.explode(distinct).alias("word")).groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    prior = F.lit(PRIOR) * (F.col("t") + F.col("c")) / n
-    odds = lambda c, total: F.log((F.col(c) + prior) / (total + PRIOR - F.col(c) - prior + 1e-9))
-    counts = counts.withColumn("delta", odds("t", y) - odds("c", n - y)).withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)))
-    telling = counts.where(F.col("z") >= Z_LEAST).orderBy(F.desc("z"), "word").limit(MAX_TERMS).select("word", "delta").collect()
-    terms = {r["word"].encode(): float(r["delta"]) for r in telling}
+    toxic, other, n_toxic, n_other = (F.lit(float(x)) for x in sums)
+    counts = _counts(texts)
+    rate = (F.col("nt") + F.col("nc")) / (n_toxic + n_other)
+    by_document = _odds(F.col("t"), toxic, F.lit(FLOOR)) - _odds(F.col("c"), other, F.lit(FLOOR))
+    by_token = _odds(F.col("nt"), n_toxic, FLOOR + PRIOR * rate) - _odds(F.col("nc"), n_other, FLOOR + PRIOR * rate)
+    counts = counts.select("token", by_token.alias("delta"), (by_document / F.sqrt(1 / (F.col("t") + FLOOR) + 1 / (F.col("c") + FLOOR))).alias("z"))
+    telling = counts.where((F.col("z") >= Z_LEAST) & (F.col("delta") > 0)).orderBy(F.desc("z"), "token").limit(MAX_TERMS).select("token", "delta").collect()
+    terms = {bytes(r["token"]): float(r["delta"]) for r in telling}
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = WordScores(terms)
         for batch in blocks(batches):
             rows = []
             for label, data in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True):
                 words = data.split()
-                scored = scored_words(words, terms)
+                scored = scores.of(words)
                 rows.append((label, len(words), [s for _, _, s in maximal_segments(scored)], [s for _, s in scored]))
-            y, n, found, hits = zip(*rows, strict=True)
+            y, n, found, hits = zip(*rows, strict=True) if rows else [[]] * 4
             many = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(n, pa.int64()), pa.array(found, many), pa.array(hits, many)], names=["y", "n", "segments", "hits"])
 
@@ -203,11 +264,12 @@ def append_scores(df: DataFrame, model: Model, into: str, text: str = "text") ->
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("significance", pa.float64())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordScores(model.terms)
         for batch in blocks(batches):
             scores, evidences, passages = [], [], []
             for data in as_binary(batch.column(at)):
                 words = alnum_words(data)
-                segments = maximal_segments(scored_words(words, model.terms))
+                segments = maximal_segments(known.of(words)) if model.terms else []
                 evidence = model.evidence(segments, len(words)) if segments else 0.0
                 scores.append(model.score(evidence))
                 evidences.append(evidence)

@@ -175,11 +175,11 @@ def _date(value: Column, key: str) -> Column:
 
 
 def _ip(value: Column, key: str) -> Column:
-    """The first octet within 1 to 223, the others within 0 to 255."""
+    """The first octet within 1 to 255, the others within 0 to 255."""
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
-    symbols = F.transform(octets, lambda x, i: F.when(i == 0, _symbol(1, x - 1, 223)).otherwise(_symbol(0, x, 256)))
+    symbols = F.transform(octets, lambda x, i: F.when(i == 0, _symbol(1, x - 1, 255)).otherwise(_symbol(0, x, 256)))
     new = F.array_join(F.transform(feistel(symbols, f"{key}|ip"), lambda s: (s["base"] + s["v"]).cast("string")), ".")
-    return F.when(F.forall(octets, lambda x: x <= 255) & F.element_at(octets, 1).between(1, 223), new)
+    return F.when(F.forall(octets, lambda x: x <= 255) & F.element_at(octets, 1).between(1, 255), new)
 
 
 def _phone(value: Column, key: str) -> Column:

@@ -40,7 +40,7 @@ from tagwatch.llm.words import alnum_words
 #: Labelled rows in the sample that the classifier is fitted on; those with the least hashes are taken.
 MAX_LABELLED = 20_000
 #: Significance (in standard errors) from which a token's log-odds count.
-Z_LEAST = 4.0
+Z_LEAST = 3.3
 #: The prior: so many tokens dealt out by the corpus' rates, and FLOOR for each token besides.
 PRIOR, FLOOR = 50.0, 0.5
 #: Lengths in bytes of the leading parts of words that are tokens, too.

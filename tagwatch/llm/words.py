@@ -6,8 +6,6 @@ Both definitions work on UTF-8 bytes: every byte of a non-ASCII character is
 
 from __future__ import annotations
 
-import xxhash
-
 import numpy as np
 
 #: A-Z to a-z; digits, a-z and all non-ASCII bytes stay; the rest become blanks.
@@ -29,26 +27,51 @@ def blank_words(data: bytes | None) -> list[bytes]:
     return data.lower().split() if data else []
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to ``limit`` words."""
-
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * MIX_A
         x = (x ^ (x >> np.uint64(27))) * MIX_B
     return x ^ (x >> np.uint64(31))
+
+
+#: Multiplier of the rolling hash, and its inverse modulo 2**64.
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class BlankWordHashes:
+    """64-bit hashes of the words of blank_words(), over whole arrays of characters.
+
+    A word's hash is a polynomial in its bytes, taken from one running sum over all texts, and mixed with its
+    length; equal words have equal hashes wherever they stand.
+    """
+
+    def __init__(self) -> None:
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' hashes in order, and how many words each text has."""
+        parts = [t or b"" for t in texts]
+        data = b" ".join(parts).lower() + b" "
+        n = len(data)
+        if n > len(self.up):
+            self.up, self.down = powers(_P, n), powers(_P_INVERSE, n)
+        chars = np.frombuffer(data, np.uint8)
+        blank = _BLANK[chars]
+        edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1))
+        starts, ends = edge[::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
+            h = mixed((sums[ends] - sums[starts]) * self.down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+        bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        return h, np.diff(np.searchsorted(starts, bounds))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagwatch.llm.scratch import cut, map_arrow
+from tagwatch.llm.scratch import cut, drop, map_arrow
 
 #: Links contracted together in a task.
 CHUNK = 200_000
@@ -88,4 +88,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark or now["n"] == 0:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b")).distinct()
         mark = now
-        links = cut(_small_star(cut(_large_star(links), "links")), "links")
+        star = cut(_large_star(links), "links")
+        new = cut(_small_star(star), "links")
+        drop(star)
+        drop(links)
+        links = new

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -459,17 +456,12 @@ def _as_stream(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_daily_windows(s, d):
-    folder = tempfile.mkdtemp()
-    rows = days.to_memory(days.daily_windows(_as_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))), "tagwatch_daily", "complete", folder)
-    out = rows.select(F.col("window.start").cast("date").alias("day"), "event_type", "n", "hundredths")
-    shutil.rmtree(folder, ignore_errors=True)
-    return out
+    rows = days.to_memory(days.daily_windows(_as_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))), "tagwatch_daily", "complete", days.checkpoint_folder(s))
+    return rows.select(F.col("window.start").cast("date").alias("day"), "event_type", "n", "hundredths")
 
 
 @query
 def stream_static_run(s, d):
-    folder = tempfile.mkdtemp()
     rows = _as_stream(s, d).select(F.col("user_id").alias("listing_id"), F.col("ts").cast("timestamp").alias("at"), F.floor(F.col("value") / 100).cast("double").alias("numeric_value"))
-    out = days.to_memory(days.static_runs(rows), "tagwatch_runs", "update", folder)
-    shutil.rmtree(folder, ignore_errors=True)
+    out = days.to_memory(days.static_runs(rows), "tagwatch_runs", "update", days.checkpoint_folder(s))
     return out.groupBy("listing_id").agg(F.max("longest_static_run").alias("longest_static_run"))

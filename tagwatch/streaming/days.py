@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +15,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tagwatch.operators.merge import merge_batch, merge_observations
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{named.rstrip('/')}/tagwatch-stream-{uuid.uuid4().hex}"
+
+
 def day_merge(stream: DataFrame, read_store: Callable[[], DataFrame], write_store: Callable[[DataFrame], None], checkpoint: str, order: list[str]) -> StreamingQuery:
     """Merge every micro-batch into the store by its key; a replayed batch changes nothing."""
 

@@ -69,7 +69,7 @@ def as_binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one holds about ``limit`` bytes, or a single row."""
     for batch in batches:
         rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))

@@ -52,14 +52,14 @@ _CLASS[0x1C] = _END
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Characters handled at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class HashTable:
     """64-bit hash -> number, by open addressing over arrays."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits, self.size = bits, 0
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
 
@@ -132,7 +132,7 @@ class TextEncoder:
     #: New words in one text.
     TOGETHER = 256
     #: Pieces remembered; beyond, all are forgotten.
-    LIMIT = 2_000_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)

@@ -111,7 +111,7 @@ def tokens_of(word: bytes) -> list[bytes]:
 class WordScores(dict):
     """word -> score of its longest telling token, or 0; remembered up to ``limit`` words."""
 
-    def __init__(self, terms: dict[bytes, float], limit: int = 500_000):
+    def __init__(self, terms: dict[bytes, float], limit: int = 100_000):
         super().__init__()
         self.terms, self.limit = terms, limit
 

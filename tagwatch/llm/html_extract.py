@@ -5,7 +5,8 @@ path.  For every path the length of its text and the punctuation in it are
 summed and divided by the number of its nodes (Wu et al. 2013: text and
 punctuation to tag path ratios).  Both are smoothed along the page, fused with
 the share of linked text and with what tags, classes, ids and roles say of the
-node, and nodes below the threshold are dropped.  What is left is cut at block
+node, and nodes below the threshold are dropped.  Class names and ids only
+lower a score, and not that of what holds an <article> or <main>.  What is left is cut at block
 elements into lines.
 
 Defined results: a null or empty page has an empty text; repeated pages are
@@ -19,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ SHARE = 0.4
 SMOOTH = (1.0, 0.5, 0.14)
 #: How much a node in <article> or <main> counts.
 INSIDE = 8.0
+#: How much a node counts below an element whose class or id hints that it is not content, in <article> or <main> and elsewhere.
+HINTED_INSIDE, HINTED = 0.5, 0.2
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?/][^>]*>", re.S
@@ -49,12 +53,17 @@ _CLOSES_P = _BLOCK - frozenset("html body head option td th tr tbody thead tfoot
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _SAME |= {f"h{k}": " ".join(f"h{j}" for j in range(1, 7)) for k in range(1, 7)}
 _SCOPE = frozenset("ul ol dl table div article section main body".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|banner|ad|ads|adv|advert\w*|sponsor\w*|promo\w*|"
+_HINT = (
+    r"nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|banner|ad|ads|adv|advert\w*|sponsor\w*|promo\w*|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|related|recommend\w*|"
-    r"breadcrumbs?|pagination|pager|subscribe|newsletter|login|signup|widget|toolbar|skip|hidden|copyright|disclaimer|legal)(?=$|[\s_-])",
-    re.I,
+    r"breadcrumbs?|pagination|pager|subscribe|newsletter|login|signup|widget|toolbar|skip|hidden|copyright|disclaimer|legal"
 )
+#: Words of layout that may stand beside a hint; with any other word, a name is no hint (entry-header, no-sidebar, related-work).
+_LAYOUT = r"site|main|top|bottom|left|right|primary|secondary|bar|box|block|area|wrap|wrapper|container|list|links?|buttons?|icons?|slot|unit|posts|articles|form|policy"
+_HINTED = re.compile(rf"(?:(?:{_LAYOUT})[_-]+)*(?:{_HINT})(?:[_-]+(?:{_HINT}|{_LAYOUT}))*", re.I)
+#: Elements that are no part of a page's layout; their ids are anchors.
+_TEXTUAL = frozenset("a b dd dt em h1 h2 h3 h4 h5 h6 i li p span strong".split())
+_WHOLE = frozenset("html body article main".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 _MARKS = re.compile(r"[.,;:!?…。，、！？；：¿¡]")
 
@@ -67,6 +76,11 @@ class Node:
     link: bool
     out: bool
     inside: bool
+    hints: tuple[Open, ...]
+
+    def hint(self) -> Open | None:
+        """The outermost element around the node that hints at other than content."""
+        return next((x for x in self.hints if x.hints), None)
 
 
 @dataclass(slots=True)
@@ -76,10 +90,18 @@ class Open:
     out: bool
     inside: bool
     link: bool
+    hinting: tuple[Open, ...]
+    hints: bool = False
+
+
+@lru_cache(4096)
+def _hints(key: str, value: str) -> bool:
+    """Only whole class names, or a whole id, are hints."""
+    return any(_HINTED.fullmatch(x) for x in (value.split() if key == "class" else [value.strip()]))
 
 
 def _opened(name: str, rest: str, above: Open) -> Open:
-    label, out = name, above.out
+    label, out, hints = name, above.out, False
     if rest and ("=" in rest or "hidden" in rest):
         for key, a, b, c, hidden in _ATTRIBUTE.findall(rest):
             key, value = key.lower(), a or b or c
@@ -87,24 +109,30 @@ def _opened(name: str, rest: str, above: Open) -> Open:
                 out = True
             elif key in ("class", "id") and value:
                 label += f".{value}"
-                out = out or name not in ("html", "body", "article", "main") and bool(_HINT.search(value))
+                hints = hints or name not in _WHOLE and not (key == "id" and name in _TEXTUAL) and _hints(key, value)
             elif key == "role":
                 out = out or value.lower() in _ROLES
     inside = above.inside or name in ("article", "main")
-    return Open(name, label, out or name in _OUT or name == "header" and not inside, inside, above.link or name == "a")
+    new = Open(name, label, out or name in _OUT or name == "header" and not inside, inside, above.link or name == "a", above.hinting, hints)
+    if hints:
+        new.hinting += (new,)
+    elif name in ("article", "main"):
+        for x in above.hinting:  # what holds an article is no margin of the page
+            x.hints = False
+    return new
 
 
 def parse(page: str) -> list[Node]:
     """The page's text nodes in order; block numbers change wherever a block element starts or ends."""
     nodes: list[Node] = []
-    stack = [Open("", "", False, False, False)]
+    stack = [Open("", "", False, False, False, ())]
     block = at = 0
     path = ""
 
     def text(data: str) -> None:
         if data and not data.isspace():
             top = stack[-1]
-            nodes.append(Node(path, data, block, top.link, top.out, top.inside))
+            nodes.append(Node(path, data, block, top.link, top.out, top.inside, top.hinting))
         elif data and nodes and nodes[-1].block == block:
             nodes[-1].text += " "
 
@@ -170,17 +198,27 @@ def content(nodes: list[Node]) -> list[Node]:
         own[3] += size * node.link
     lengths = _smoothed([math.log1p(sums[x.path][1] / sums[x.path][0]) for x in nodes])
     marks = _smoothed([min(2.0, sums[x.path][2] / sums[x.path][0]) for x in nodes])
-    scores = []
-    for node, length, mark in zip(nodes, lengths, marks, strict=True):
+    scores, hints = [], [x.hint() for x in nodes]
+    for node, hint, length, mark in zip(nodes, hints, lengths, marks, strict=True):
         own = sums[node.path]
-        plain = 1.0 if node.inside else 1 - own[3] / own[1]
-        scores.append(0.0 if node.out else length * (0.5 + mark) * plain * (INSIDE if node.inside else 1.0))
-    total = sum(len(x.text) * (s > 0) for x, s in zip(nodes, scores, strict=True))
-    if not total:
+        plain = 1.0 if node.inside and not hint else 1 - own[3] / own[1]
+        weight = (INSIDE if node.inside else 1.0) * ((HINTED_INSIDE if node.inside else HINTED) if hint else 1.0)
+        scores.append(0.0 if node.out else length * (0.5 + mark) * plain * weight)
+    rows = list(zip(nodes, hints, scores, strict=True))
+    # the mean is that of nodes without hints, if the page has any
+    sized = [(len(x.text), s) for x, h, s in rows if s > 0 and not h] or [(len(x.text), s) for x, _, s in rows if s > 0]
+    if not sized:
         return []
-    least = SHARE * sum(len(x.text) * s for x, s in zip(nodes, scores, strict=True)) / total
-    # inside the article nothing is dropped for being short; outside, the ratios decide
-    return [x for x, s in zip(nodes, scores, strict=True) if s > 0 and (x.inside or s >= least)]
+    least = SHARE * sum(n * s for n, s in sized) / sum(n for n, _ in sized)
+    # inside the article nothing is dropped for being short, and what a hint is about stays or goes as a whole; outside, the ratios decide
+    parts: dict[int, list[float]] = {}
+    for node, hint, score in rows:
+        if hint and node.inside and not node.out:
+            own = parts.setdefault(id(hint), [0.0, 0.0])
+            own[0] += len(node.text) * score
+            own[1] += len(node.text)
+    told = lambda h: parts[id(h)][0] >= least * parts[id(h)][1]
+    return [x for x, h, s in rows if not x.out and ((told(h) if h else s > 0) if x.inside else s > 0 and s >= least)]
 
 
 def main_text(page: str | None) -> str:

@@ -118,6 +118,34 @@ def test_main_text():
     assert html_extract.main_text(soup).count("\n") == 5 and "Home" not in html_extract.main_text(soup)
 
 
+BODY = "<h1>The title</h1><p>First, a long sentence with some words in it.</p><h2>Next</h2><p>Second, another long sentence, which ends here.</p>"
+BODY_TEXT = "The title\nFirst, a long sentence with some words in it.\nNext\nSecond, another long sentence, which ends here."
+
+
+@pytest.mark.parametrize("wrapper", ['class="site no-sidebar"', 'class="content has-sidebar"', 'class="sidebar"', 'id="main-header"', 'class="social"'])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_hints_around_the_whole_page(wrapper, inner):
+    page = f"<body class='sidebar'><nav>Menu</nav><div {wrapper}><{inner}>{BODY}</{inner}></div><footer>Us</footer></body>"
+    assert html_extract.main_text(page) == BODY_TEXT
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-impact", "side-effects", "legal-framework", "related", "legal"])
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_anchors_are_no_hints(name, outer):
+    page = f'<{outer}><header class="entry-header"><h1>The title</h1></header>{BODY}<h2 id="{name}">Anchor</h2><p>Third, a sentence of the section, quite long.</p></{outer}>'
+    want = f"{BODY_TEXT}\nAnchor\nThird, a sentence of the section, quite long."
+    assert html_extract.main_text(page) == ("The title\n" if outer == "article" else "") + want
+    page = f'<article>{BODY}<section id="{name}"><h2>Anchor</h2><p>Third, a sentence of the section, quite long.</p></section></article>'
+    assert html_extract.main_text(page) == want
+
+
+def test_hints_beside_the_text():
+    beside = '<div class="share"><a href=1>Tweet</a> <a href=2>Mail</a></div>'
+    assert html_extract.main_text(f"<article>{BODY}{beside}</article>") == BODY_TEXT
+    for name in ("sidebar", "cookie-notice", "site-footer"):
+        assert html_extract.main_text(f'<div>{BODY}</div><div class="{name}">Words at the margin, some of them.</div>') == BODY_TEXT
+
+
 def test_html_of_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}

@@ -9,6 +9,12 @@ of the other half), check digits are computed anew, and the text is put
 together again.  The map is one-to-one within a format, so equal values keep
 equal pseudonyms in all documents, and different values differ.
 
+Card numbers and IBANs are matched with the numbers that follow them, and the
+run is looked through group by group: a card number is the first of the usual
+forms, or else the longest part of 13 to 19 digits, that ends with a group and
+is valid, an IBAN has its country's length; what they do not take is searched
+for other values.
+
 Kinds: card, iban, date, ip, phone, ssn, email (the part before the @).
 
 Defined results: a null text stays null, a text without valid values stays as
@@ -29,14 +35,27 @@ KEY = "tagwatch-pseudonyms"
 
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Lengths of IBANs by country (the registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 DATE = r"(?:1[89]|2[01])[0-9]{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/.])(?:0[1-9]|1[0-2])\2(?:1[89]|2[01])[0-9]{2}"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-#: The first kind that matches at a place is taken. 
-ANY = f"{_BEFORE}(?:{EMAIL}|{IBAN}|{IP}|{DATE}|{SSN}|{PHONE}|{CARD}){_AFTER}"
+#: Numbers that follow a card number or IBAN: whether they are part of it, or values themselves, is told with the run.
+_TAIL = rf"(?:[ ./-](?!{EMAIL})[0-9]+{_AFTER})*+"
+#: The first kind that matches at a place is taken; runs are looked through group by group.
+RUN = rf"(?:{IBAN}|[0-9](?:(?:[ -](?!{EMAIL}))?[0-9]){{12,18}}){_AFTER}{_TAIL}"
+ANY = f"{_BEFORE}(?:(?:{EMAIL}|{IP}|{DATE}|{SSN}|{PHONE}){_AFTER}|{RUN})"
+#: Characters that a value in a run can have, and more.
+_WINDOW = 64
+#: Usual forms of card numbers, looked for before any other: unbroken, 4-4-4-4, 4-6-5 and 4-6-4.
+_CARD_FORMS = (r"[0-9]{13,19}", r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}")
 
 _SYMBOL = "struct<base:int,v:int,m:int>"
 
@@ -130,12 +149,16 @@ def _into(template: Column, digits: Column) -> Column:
     )
 
 
+def _valid_card(value: Column) -> Column:
+    return F.pmod(_luhn(_digits(value), 0), F.lit(10)) == 0
+
+
 def _card(value: Column, key: str) -> Column:
     digits = _digits(value)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     new = _text(_moved(F.transform(_chars(body), _char_symbol), f"{key}|card"))
     whole = _let(new, lambda b: F.concat(b, F.pmod(10 - F.pmod(_luhn(b, 1), F.lit(10)), F.lit(10)).cast("string")))
-    return F.when(F.pmod(_luhn(digits, 0), F.lit(10)) == 0, _let(whole, lambda w: _into(value, w)))
+    return F.when(_valid_card(value), _let(whole, lambda w: _into(value, w)))
 
 
 def _mod97(text: Column) -> Column:
@@ -145,15 +168,20 @@ def _mod97(text: Column) -> Column:
     )
 
 
+def _valid_iban(value: Column) -> Column:
+    plain = F.replace(value, F.lit(" "), F.lit(""))
+    return F.length(plain).between(15, 34) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+
 def _iban(value: Column, key: str) -> Column:
     plain = F.replace(value, F.lit(" "), F.lit(""))
-    country, check, body = F.substring(plain, 1, 2), F.substring(plain, 3, 2), F.substring(plain, F.lit(5), F.length(plain))
+    country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     new = _text(_moved(F.transform(_chars(body), _char_symbol), f"{key}|iban"))
     whole = _let(new, lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
     spaced = lambda w: F.array_join(
         F.transform(_chars(value), lambda c, i: F.when(c == " ", c).otherwise(F.substring(w, F.length(F.replace(F.substring(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), ""
     )
-    return F.when((F.length(plain).between(15, 34)) & (_mod97(F.concat(body, country, check)) == 1), _let(whole, spaced))
+    return F.when(_valid_iban(value), _let(whole, spaced))
 
 
 def _date(value: Column, key: str) -> Column:
@@ -226,20 +254,71 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return F.coalesce(chosen, value)
 
 
+def _grouped(n: int) -> str:
+    """n characters in groups of four."""
+    return f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+
+
+def _iban_forms() -> list[str]:
+    """IBANs of the registry's countries by their lengths; of others by any length, the longest first."""
+    known = [f"(?:{names.replace(' ', '|')})[0-9]{{2}}{_grouped(n - 4)}" for n, names in IBAN_LENGTHS.items()]
+    every = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    return [f"(?:{'|'.join(known)})", *(f"(?!{every})[A-Z]{{2}}[0-9]{{2}}{_grouped(n - 4)}" for n in range(34, 14, -1))]
+
+
+def _head(text: Column, forms: list[str], valid: Callable[[Column], Column]) -> Column:
+    """The first valid one of what the forms match at the start of the text, where they end at a boundary; or null."""
+    return F.get(F.filter(F.array(*[F.regexp_extract(text, f"^(?:{x}){_AFTER}", 0) for x in forms]), lambda x: F.when(x != "", valid(x)).otherwise(False)), 0)
+
+
+def _value_at(text: Column) -> Column:
+    """The value at the start of the text, or null: a valid card number or IBAN, or what may be of another kind."""
+    other = F.regexp_extract(text, f"^(?:{IP}|{DATE}|{SSN}|{PHONE}){_AFTER}", 0)
+    cards = [*_CARD_FORMS, *(rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1))]
+    return F.when(text.rlike("^[A-Z]"), _head(text, _iban_forms(), _valid_iban)).when(other != "", other).otherwise(_head(text, cards, _valid_card))
+
+
+_PARTS = "array<struct<text:string,value:boolean>>"
+
+
+def _part(text: Column, value: bool) -> Column:
+    return F.array(F.struct(text.alias("text"), F.lit(value).alias("value")))
+
+
+def _parts(match: Column) -> Column:
+    """The match, or the values in a run and what lies between; a value may start at each group that no value before it has taken."""
+    groups = F.split(match, "(?<=[ ./-])(?=[0-9A-Z])")
+    sizes = F.transform(groups, lambda g: F.length(g))
+    state = lambda start, at, parts: F.struct(start.cast("int").alias("start"), at.cast("int").alias("at"), parts.cast(_PARTS).alias("parts"))
+
+    def step(a: Column, size: Column) -> Column:
+        start, after = a["start"], a["start"] + size
+        taken = lambda v: F.when(
+            v.isNotNull(), state(after, start + F.length(v), F.concat(a["parts"], _part(F.substring(match, a["at"] + 1, start - a["at"]), False), _part(v, True)))
+        ).otherwise(state(after, a["at"], a["parts"]))
+        text = F.substring(match, start + 1, F.lit(_WINDOW))
+        return F.when(start < a["at"], state(after, a["at"], a["parts"])).otherwise(_let(_let(text, _value_at), taken))
+
+    done = F.aggregate(sizes, state(F.lit(0), F.lit(0), F.array()), step, lambda x: F.concat(x["parts"], _part(F.substring(match, x["at"] + 1, F.length(match)), False)))
+    return F.when(match.rlike(f"^(?:{RUN})$"), done).otherwise(_part(match, True))
+
+
 def found(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with __values (matches in order) and __pieces (what lies between)."""
+    """docs with __parts, the text's values and what lies between."""
     has = F.col(text).rlike("[0-9]|@") & F.col(text).rlike(ANY)
     values = F.when(has, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     pieces = F.when(has, F.split(F.col(text), ANY, -1)).otherwise(F.array(F.col(text)))
-    return docs.withColumn("__values", values).withColumn("__pieces", pieces)
+    told = docs.withColumn("__values", values).withColumn("__pieces", pieces)
+    parts = F.flatten(F.transform("__pieces", lambda p, i: F.concat(_part(p, False), F.when(i < F.size("__values"), _parts(F.get("__values", i))).otherwise(F.array().cast(_PARTS)))))
+    return told.withColumn("__parts", F.when(F.size("__values") > 0, parts)).drop("__values", "__pieces")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with the text's valid values replaced; count: a column to add with the number of values replaced."""
     told = found(docs, key, text)
-    told = told.withColumn("__new", F.transform("__values", lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.transform("__pieces", lambda p, i: F.concat(p, F.coalesce(F.get("__new", i), F.lit("")))), "")
-    changed = F.when(F.size("__values") > 0, joined).otherwise(F.col(text))
-    number = F.size(F.filter(F.arrays_zip("__values", "__new"), lambda z: z["__values"] != z["__new"])).cast("long")
+    told = told.withColumn("__new", F.transform("__parts", lambda x: F.when(x["value"], pseudonym(x["text"], key)).otherwise(x["text"])))
+    changed = F.coalesce(F.array_join("__new", ""), F.col(text))
+    number = F.size(F.filter(F.arrays_zip("__parts", "__new"), lambda z: z["__parts"]["text"] != z["__new"])).cast("long")
+    number = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(number)
     columns = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return told.select(*columns, *([number.alias(count)] if count else []))

@@ -40,6 +40,30 @@ def test_pseudonyms_keep_their_format(spark):
     assert other != got[1].text
 
 
+IBANS = ("ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32")
+AROUND = [
+    ("4111111111111111", "{} 12/25"), ("4111111111111111", "{} 1 item"), ("4111111111111111", "{} 12"), ("4111 1111 1111 1111", "{} 123"), ("4111 1111 1111 1111", "{} 12/25 123"),
+    ("4111111111111111", "2 {}"), ("4111111111111111", "no. 12 {} 3 x"), ("378282246310005", "{} 1234"), ("3782 822463 10005", "{} 12-25"), ("411111 1111111111", "{} 12/25"),
+    (IBANS[0], "{} BIC CAIXESBBXXX"), (IBANS[0], "{} 12"), (IBANS[1], "{} BIC"), (IBANS[1], "{} 4 items"), ("ES91 2100 0418 4502 0005 1332", "IBAN {} BIC X"), ("4111 1111 1111 1111", "AB12 {}"),
+]
+
+
+def test_values_with_numbers_around_them(spark):
+    rows = [(k, around.format(value)) for k, (value, around) in enumerate(AROUND)] + [(100 + k, value) for k, (value, _) in enumerate(AROUND)]
+    both = {200: "378282246310005 2025-01-31", 201: "4111111111111111 123-45-6789", 202: "4111111111111111 10.0.0.1", 203: "4111111111111111 555-123-4567", 204: "4111111111111111 12.bob@example.com", 205: "4111111111111111 4349000490986231"}
+    none = {300: "4349000490986232", 301: "1 2 3 4", 302: "GB83 WEST 1234 5698 7654 32 BIC", 303: " ".join(["0.5"] * 30_000)}
+    docs = spark.createDataFrame([*rows, *both.items(), *none.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(docs, count="n").collect()}
+    for k, (value, around) in enumerate(AROUND):
+        alone = got[100 + k][0]
+        assert alone != value and got[k] == (around.format(alone), 1), value
+    card = got[100][0]
+    assert all(got[k][1] == 2 for k in both) and all(got[k][0].startswith(f"{card} ") for k in range(201, 206))
+    assert all(got[k][0].split(" ")[1] != text.split(" ")[1] for k, text in both.items())
+    assert re.fullmatch(r"\d\d\.[a-z]{3}@example\.com", got[204][0].split(" ")[1]) and not got[204][0].split(" ")[1].startswith("12.")
+    assert all(got[k] == (text, 0) for k, text in none.items())
+
+
 def test_pseudonyms_are_one_to_one(spark):
     days = spark.range(20_000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("v"))
     assert days.select(pii.pseudonym(F.col("v")).alias("p")).distinct().count() == 20_000

@@ -18,7 +18,7 @@ label, lang, source and doc_id are never inputs of a score.
 Defined results: null and empty texts have no evidence and get the score of
 that; without usable labels of both kinds every score is 0; labels other than
 0 and 1, null labels and null ids are ignored; a document labelled twice counts with
-its mean label, and so do equal texts.
+its mean label, and so do equal texts and near copies.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ DRIFT = -0.08
 #: Telling tokens that a model can have; beyond, the least significant are left out (a size of the model, not of the data).
 MAX_TERMS = 50_000
 THRESHOLD = 0.7
+#: Jaccard similarity of word 5-grams from which texts of the sample are near copies.
+NEAR = 0.75
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,28 +164,50 @@ def sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def _grams(words: list[bytes]) -> list[bytes]:
+    return [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+
+
+def _merged(rows: DataFrame, mark: str) -> DataFrame:
+    """Texts that are near copies of the least text with the same mark give way to it; labels are added up."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            kept = []
+            for own, least in zip(as_binary(batch.column(0)), as_binary(batch.column(1)), strict=True):
+                a, b = (set(_grams(x.split())) for x in (own, least))
+                kept.append(least if len(a & b) >= NEAR * len(a | b) else own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["words", "into"])
+
+    least = rows.groupBy(mark).agg(F.min("words").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    pairs = rows.join(least, mark).where("words <> least").select("words", "least")
+    into = map_arrow(pairs, kernel, "words binary, into binary").where("words <> into")
+    moved = rows.join(into, "words", "left").withColumn("into", F.coalesce("into", "words"))
+    own = F.max(F.when(F.col("words") == F.col("into"), F.struct("m1", "m2"))).alias("m")
+    return moved.groupBy("into").agg(own, F.sum("y").alias("y"), F.sum("n").alias("n")).select("m.m1", "m.m2", F.col("into").alias("words"), "y", "n")
+
+
 def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The words and mean label of each distinct text of the sample; of near copies, one stays.
+    """The words and mean label of each distinct text of the sample; of near copies, one stays with the mean label of all.
 
-    Copies would make any word of theirs look telling.  Near copies are told by the least hashes of their
-    word 5-grams, by either of two hash functions.
+    Copies would make any word of theirs look telling.  Near copies are sought by the least hashes of their
+    word 5-grams, by either of two hash functions, and are merged only if they share NEAR of all their 5-grams.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             words = [alnum_words(t) for t in as_binary(batch.column(0))]
             joined = [b" ".join(w) for w in words]
-            grams = [[b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] for w in words]
+            grams = [_grams(w) for w in words]
             marks = [[min(xxhash.xxh3_64_intdigest(g, seed=s) for g in own) >> 1 for own in grams] for s in (1, 2)]
             yield pa.RecordBatch.from_arrays([*(pa.array(m, pa.int64()) for m in marks), batch.column(1), pa.array(joined, pa.binary())], names=["m1", "m2", "y", "words"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")  # chosen has MAX_LABELLED rows at most
     rows = map_arrow(joined, kernel, "m1 long, m2 long, y double, words binary")
-    rows = rows.groupBy("m1", "m2", "words").agg(F.avg("y").alias("y"))
+    rows = rows.groupBy("m1", "m2", "words").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
     for mark in ("m1", "m2"):
-        least = F.min(F.struct("words", "y", "m2")).alias("r")
-        rows = rows.groupBy(mark).agg(least).select("r.words", "r.y", "r.m2")
-    return rows.select("words", "y")
+        rows = _merged(rows, mark)
+    return rows.select("words", (F.col("y") / F.col("n")).alias("y"))
 
 
 def _counts(texts: DataFrame) -> DataFrame:

@@ -120,6 +120,18 @@ def test_maximal_segments_equal_brute_force():
         assert sorted(s for _, _, s in got) == sorted(split(0, len(scores)))
 
 
+def test_toxicity_merges_only_near_copies(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, copy = some(30), some(200)
+    texts = [f"{some(30)} {shared} {some(30)}" for _ in range(30)] + [f"{copy} one", f"{copy} two", f"{copy} two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chosen = spark.createDataFrame([(k, float(k % 2)) for k in range(33)], "doc_id long, y double")
+    got = {bytes(r.words).decode(): r.y for r in toxicity._texts(docs, chosen).collect()}
+    want = {text: float(k % 2) for k, text in enumerate(texts[:30])} | {f"{copy} one": 1 / 3}  # labels 0, 1 and 0
+    assert got.keys() == want.keys() and all(abs(got[k] - y) < 1e-12 for k, y in want.items())
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "some text", 7)], "doc_id long, text string, score int")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")

@@ -113,8 +113,8 @@ def family(rng, base, n, changes):
     return out
 
 
-@pytest.mark.parametrize("few", [jaccard_join.FEW, 0])
-def test_jaccard_join_equals_brute_force(spark, few, monkeypatch):
+@pytest.mark.parametrize(("docs_at_once", "shingles_at_once"), [(jaccard_join.DOCS, jaccard_join.SHINGLES), (8, 500)])
+def test_jaccard_join_equals_brute_force(spark, docs_at_once, shingles_at_once, monkeypatch):
     rng = random.Random(7)
     texts = []
     for size in (6, 7, 9, 12, 20, 40, 80, 200):
@@ -126,8 +126,9 @@ def test_jaccard_join_equals_brute_force(spark, few, monkeypatch):
     texts += ["one", "one", "two words", None, "", "A b C d", "a B c D"]
     rng.shuffle(texts)
     docs = list(enumerate(texts))
-    monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(jaccard_join, "LEADERS", 16 if few else 1)
+    monkeypatch.setattr(jaccard_join, "DOCS", docs_at_once)
+    monkeypatch.setattr(jaccard_join, "SHINGLES", shingles_at_once)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == links_by_hand(docs)
 
@@ -138,6 +139,13 @@ def test_jaccard_join_of_odd_rows(spark):
     assert jaccard_join.join(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (3, a), (4, f"{b} more"), (7, a.upper()), (9, "none of these words is anywhere else")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 36, 3), (4, 37, 3), (5, 36, 3), (5, 36, 3), (7, 36, 3), (9, 3, 9)]
+
+
 def test_every_plan_is_sound():
     """Whatever plan a band takes, sets within the bound share a signature if the plan fits the smaller."""
     assert all(jaccard_join.allowed(n) == n // 3 for n in range(1, 1000))

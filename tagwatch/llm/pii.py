@@ -18,8 +18,11 @@ for other values.
 Kinds: card, iban, date, ip, phone, ssn, email (the part before the @).
 
 Defined results: a null text stays null, a text without valid values stays as
-it is; nothing else of a row is touched; the same key gives the same
-pseudonyms in every run.
+it is; nothing else of a row is touched, whatever the columns are called (but
+for the one named by count, which must be new); repeated rows are treated
+alike; the same key gives the same pseudonyms in every run.  Time is linear in
+a text's length but for values that follow one another in one run, of which
+each costs a copy of the list so far.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagwatch.llm.scratch import fresh, quoted
+
 ROUNDS = 8
 #: The pseudonyms' key where none is given; give a secret one in production.
 KEY = "tagwatch-pseudonyms"
 
 _BEFORE, _AFTER = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Loops over groups are possessive: those Java runs without recursion, however long a domain or a run is.
+EMAIL = rf"[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+{_AFTER})++"
 #: Lengths of IBANs by country (the registry).
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -248,10 +254,13 @@ def _kind(value: Column) -> Column:
 
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of a matched value, or the value itself where it is not valid."""
-    chosen = F.lit(None).cast("string")
-    for name, _, of in reversed(_KINDS):
-        chosen = F.when(_kind(value) == name, of(value, key)).otherwise(chosen)
-    return F.coalesce(chosen, value)
+    def of_kind(told: Column) -> Column:
+        chosen = told["value"]
+        for name, _, of in reversed(_KINDS):
+            chosen = F.when(told["kind"] == name, of(told["value"], key)).otherwise(chosen)
+        return F.coalesce(chosen, told["value"])
+
+    return _let(F.struct(value.alias("value"), _kind(value).alias("kind")), of_kind)
 
 
 def _grouped(n: int) -> str:
@@ -288,37 +297,33 @@ def _part(text: Column, value: bool) -> Column:
 def _parts(match: Column) -> Column:
     """The match, or the values in a run and what lies between; a value may start at each group that no value before it has taken."""
     groups = F.split(match, "(?<=[ ./-])(?=[0-9A-Z])")
-    sizes = F.transform(groups, lambda g: F.length(g))
+    # of every group: its length, and the text from there on
+    told = _let(groups, lambda g: F.transform(g, lambda x, i: F.struct(F.length(x).alias("n"), F.substring(F.array_join(F.slice(g, i + 1, F.lit(_WINDOW // 2)), ""), 1, _WINDOW).alias("text"))))
     state = lambda start, at, parts: F.struct(start.cast("int").alias("start"), at.cast("int").alias("at"), parts.cast(_PARTS).alias("parts"))
 
-    def step(a: Column, size: Column) -> Column:
-        start, after = a["start"], a["start"] + size
+    def step(a: Column, group: Column) -> Column:
+        start, after = a["start"], a["start"] + group["n"]
         taken = lambda v: F.when(
             v.isNotNull(), state(after, start + F.length(v), F.concat(a["parts"], _part(F.substring(match, a["at"] + 1, start - a["at"]), False), _part(v, True)))
         ).otherwise(state(after, a["at"], a["parts"]))
-        text = F.substring(match, start + 1, F.lit(_WINDOW))
-        return F.when(start < a["at"], state(after, a["at"], a["parts"])).otherwise(_let(_let(text, _value_at), taken))
+        return F.when(start < a["at"], state(after, a["at"], a["parts"])).otherwise(_let(_value_at(group["text"]), taken))
 
-    done = F.aggregate(sizes, state(F.lit(0), F.lit(0), F.array()), step, lambda x: F.concat(x["parts"], _part(F.substring(match, x["at"] + 1, F.length(match)), False)))
+    done = F.aggregate(told, state(F.lit(0), F.lit(0), F.array()), step, lambda x: F.concat(x["parts"], _part(F.substring(match, x["at"] + 1, F.length(match)), False)))
     return F.when(match.rlike(f"^(?:{RUN})$"), done).otherwise(_part(match, True))
 
 
-def found(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with __parts, the text's values and what lies between."""
-    has = F.col(text).rlike("[0-9]|@") & F.col(text).rlike(ANY)
-    values = F.when(has, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    pieces = F.when(has, F.split(F.col(text), ANY, -1)).otherwise(F.array(F.col(text)))
-    told = docs.withColumn("__values", values).withColumn("__pieces", pieces)
-    parts = F.flatten(F.transform("__pieces", lambda p, i: F.concat(_part(p, False), F.when(i < F.size("__values"), _parts(F.get("__values", i))).otherwise(F.array().cast(_PARTS)))))
-    return told.withColumn("__parts", F.when(F.size("__values") > 0, parts)).drop("__values", "__pieces")
-
-
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with the text's valid values replaced; count: a column to add with the number of values replaced."""
-    told = found(docs, key, text)
-    told = told.withColumn("__new", F.transform("__parts", lambda x: F.when(x["value"], pseudonym(x["text"], key)).otherwise(x["text"])))
-    changed = F.coalesce(F.array_join("__new", ""), F.col(text))
-    number = F.size(F.filter(F.arrays_zip("__parts", "__new"), lambda z: z["__parts"]["text"] != z["__new"])).cast("long")
-    number = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(number)
-    columns = [changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    own = F.col(f"`{text}`")
+    values, pieces, parts, new = fresh(docs, "values", "pieces", "parts", "new")
+    has = own.rlike("[0-9]|@") & own.rlike(ANY)
+    told = docs.withColumn(values, F.when(has, F.regexp_extract_all(own, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    told = told.withColumn(pieces, F.when(has, F.split(own, ANY, -1)).otherwise(F.array(own)))
+    each = F.transform(pieces, lambda p, i: F.concat(_part(p, False), F.when(i < F.size(values), _parts(F.get(values, i))).otherwise(F.array().cast(_PARTS))))
+    told = told.withColumn(parts, F.when(F.size(values) > 0, F.flatten(each)))
+    told = told.withColumn(new, F.transform(parts, lambda x: F.when(x["value"], pseudonym(x["text"], key)).otherwise(x["text"])))
+    changed = F.coalesce(F.array_join(new, ""), own)
+    number = F.size(F.filter(F.arrays_zip(F.col(parts).alias("old"), F.col(new).alias("new")), lambda z: z["old"]["text"] != z["new"])).cast("long")
+    number = F.when(F.col(parts).isNull(), F.lit(0)).otherwise(number)
+    columns = [changed.alias(c) if c == text else F.col(quoted(c)) for c in docs.columns]
     return told.select(*columns, *([number.alias(count)] if count else []))

@@ -1,8 +1,7 @@
-"""Tables written to the shared folder, and Arrow helpers."""
+"""Tables written to the shared folder, column names that cannot clash, and Arrow helpers."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,38 +17,57 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is named."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is named and all runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/tagwatch-shared"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or f"file://{tempfile.gettempdir()}/tagwatch-shared").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tagwatch/{name}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """What is written at path goes when the driver's JVM ends."""
+    at, files = _folder(spark, path)
+    files.deleteOnExit(at)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lost executors cost no recomputation of what came before."""
-    path = new_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote."""
     spark = df.sparkSession
     for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = _folder(spark, file)
+        files.delete(at.getParent(), True)
         break
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now instead of at the next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has."""
+    taken, mark = {c.lower() for c in df.columns}, "own"
+    while any(f"{mark}_{n}" in taken for n in names):
+        mark += "_"
+    return [f"{mark}_{n}" for n in names]
+
+
+def quoted(column: str) -> str:
+    """The column's name as select() takes it, dots and back-ticks included."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def small_batches(spark: SparkSession) -> None:

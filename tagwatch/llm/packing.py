@@ -3,11 +3,20 @@
 Documents longer than a window are first cut into full windows.  What is left
 of each is placed, longest first, into the open window with the least room
 that still holds it; a segment tree over remaining room finds that window in
-logarithmic time.  Every task packs what it reads, so there is no shuffle: of
-thousands of pieces, best fit leaves a handful of windows unfilled.
+logarithmic time.
+
+Texts are read and encoded once and do not move: what is shuffled is a row of a
+few numbers for each piece.  Pieces are dealt over groups of about TOGETHER by a
+hash of what they are, so every group has the whole corpus's mix of lengths, and
+of tens of thousands of pieces best fit leaves a handful of windows unfilled.
+The number of groups follows the number of pieces, so neither padding nor
+sequences depend on how the input is partitioned.  (Only where so many rows are
+the same that their group is beyond twice TOGETHER, it is dealt anew by where
+rows stand.)
 
 Defined results: a null text is empty and so is the end id alone; every row,
-repeated or not, is a document of its own.
+repeated or not, is a document of its own; a null doc_id stays null; other
+columns are ignored; an empty table has no pieces.
 """
 
 from __future__ import annotations
@@ -19,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tagwatch.llm.scratch import blocks, map_arrow
+from tagwatch.llm.scratch import blocks, cut, map_arrow
 from tagwatch.llm.tokens import encoder, with_end
 
 WINDOW = 2048
-#: Rests packed together; beyond it, or beyond REACH_BYTES of ids, a task starts over, so its memory is bounded.
-REACH = 65_536
-REACH_BYTES = 48_000_000
+#: Pieces packed together.
+TOGETHER = 65_536
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
@@ -86,48 +96,45 @@ def padded_length(used: int, window: int) -> int:
     return used if used & (used - 1) == 0 else window
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 1, window: int = WINDOW) -> DataFrame:
-    """One row per piece: where it starts in its document, where it lies in its sequence."""
+def pieces(docs: DataFrame, tokenizer: str, end: int, window: int) -> DataFrame:
+    """One row per piece: full windows of long documents, and what is left; row: a number of its own."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base = encoder(tokenizer), TaskContext.get().partitionId() << 36
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        rests = size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal base
-            ids = np.concatenate([x for _, x, _ in held])
-            counts = np.concatenate([c for _, _, c in held])
-            docs_of = pa.array([d for ds, _, _ in held for d in ds], pa.int64())
-            full, rest = counts // window, counts % window
-            some = np.flatnonzero(rest)
-            places, offsets, n_rest = best_fit(rest[some], window)
-            doc = np.concatenate((np.repeat(np.arange(len(counts)), full), some))
-            first = np.cumsum(full) - full
-            start = np.concatenate((np.arange(int(full.sum())) - np.repeat(first, full), full[some])) * window
-            length = np.concatenate((np.full(int(full.sum()), window), rest[some]))
-            sequence = np.concatenate((np.arange(int(full.sum())), places + int(full.sum())))
-            offset = np.concatenate((np.zeros(int(full.sum()), np.int64), offsets))
-            used = np.bincount(sequence, length, minlength=int(full.sum()) + n_rest).astype(np.int64)
-            padded = np.array([padded_length(u, window) for u in used.tolist()], np.int64)
+        own, row = encoder(tokenizer), TaskContext.get().partitionId() << 36
+        for batch in blocks(batches):
+            ids, counts = with_end(*own.encode(batch.column(1).to_pylist()), end)
+            number = -(-counts // window)
+            doc = np.repeat(np.arange(len(counts)), number)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)) * window
+            length = np.minimum(counts[doc] - start, window)
             at = (np.cumsum(counts) - counts)[doc] + start
             wide = memoryview(ids.astype("<u4")).cast("B")
             crc = [zlib.crc32(wide[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [docs_of.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[doc], sequence + base, offset, padded[sequence]))],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
+                [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, counts[doc], row + np.arange(len(doc))))],
+                names=[c.split()[0] for c in PIECE.split(", ")],
             )
-            base += len(used)
+            row += len(doc)
 
-        for batch in blocks(batches):
-            ids, counts = with_end(*own.encode(batch.column(1).to_pylist()), end)
-            held.append((batch.column(0).to_pylist(), ids, counts))
-            rests += len(counts)
-            size += ids.nbytes
-            if rests >= REACH or size > REACH_BYTES:
-                yield from flush()
-                held, rests, size = [], 0, 0
-        if held:
-            yield from flush()
-
-    return map_arrow(docs.select("doc_id", "text"), kernel, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), kernel, PIECE)
+
+
+def pack(docs: DataFrame, tokenizer: str, end: int = 1, window: int = WINDOW) -> DataFrame:
+    """One row per piece: where it starts in its document, where it lies in its sequence."""
+    cut_up = cut(pieces(docs, tokenizer, end, window), "pieces")
+    groups = max(1, -(-cut_up.count() // TOGETHER))
+    dealt = cut_up.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)))
+    wide = dealt.groupBy("g").agg(F.ceil(F.count("*") / (2 * TOGETHER)).alias("parts")).where("parts > 1")
+    dealt = dealt.join(wide, "g", "left").withColumn("g", F.col("g") + groups * F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).drop("parts")
+
+    def kernel(group: pa.Table) -> pa.Table:
+        # the same whatever the order of rows
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending"), ("row", "ascending")])
+        length = group["length"].to_numpy()
+        places, offsets, n = best_fit(length, window)
+        used = np.bincount(places, length, minlength=n).astype(np.int64)
+        padded = np.array([padded_length(u, window) for u in used.tolist()], np.int64)
+        told = (group["g"].to_numpy()[0] << 20) + places, offsets, padded[places]
+        return pa.table([*(group[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), *map(pa.array, told)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return dealt.groupBy("g").applyInArrow(kernel, SCHEMA)

@@ -1,10 +1,10 @@
 """Connected components of a link table, distributed.
 
-Links are first contracted to stars within each task by union-find, then
-alternating large-star and small-star steps (Kiveris et al. 2014) run until
-nothing changes.  Every step is a minimum by node and a join, and is written to
-the shared folder, so lineage stays short and no component is ever in one
-place.
+Links are first contracted to stars within each task by union-find.  If fewer
+than CHUNK are left, one task contracts them all.  Else alternating large-star
+and small-star steps (Kiveris et al. 2014) run until nothing changes: every step
+is a minimum by node and a join, and is written to the shared folder, so lineage
+stays short and no task ever holds more than CHUNK links.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tagwatch.llm.scratch import cut, drop, map_arrow
 
-#: Links contracted together in a task.
+#: Links contracted together in a task, at most.
 CHUNK = 200_000
 
 
@@ -81,15 +81,22 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) longs, in either order.  Returns (node, component) for every linked node, component the least of its nodes."""
-    links = cut(map_arrow(links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), _stars, "a long, b long"), "links")
+    plain = links.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    links = cut(map_arrow(plain, _stars, "a long, b long"), "links")
     mark = None
     while True:
         now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now == mark or now["n"] == 0:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b")).distinct()
+            break
         mark = now
+        if now["n"] < CHUNK:  # bounded: one task holds what remains
+            new = cut(map_arrow(links.coalesce(1), _stars, "a long, b long"), "links")
+            drop(links)
+            links = new
+            break
         star = cut(_large_star(links), "links")
         new = cut(_small_star(star), "links")
         drop(star)
         drop(links)
         links = new
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b")).distinct()

@@ -18,7 +18,9 @@ label, lang, source and doc_id are never inputs of a score.
 Defined results: null and empty texts have no evidence and get the score of
 that; without usable labels of both kinds every score is 0; labels other than
 0 and 1, null labels and null ids are ignored; a document labelled twice counts with
-its mean label, and so do equal texts and near copies.
+its mean label, and so do equal texts and near copies; repeated rows are scored
+alike; texts of any length are scored whole; other columns pass through
+clean(), whatever they are called.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagwatch.llm.scratch import as_binary, blocks, cut, drop, map_arrow
+from tagwatch.llm.scratch import as_binary, blocks, cut, drop, fresh, map_arrow, quoted
 from tagwatch.llm.words import alnum_words
 
 #: Labelled rows in the sample that the classifier is fitted on; those with the least hashes are taken.
@@ -47,8 +49,6 @@ PRIOR, FLOOR = 50.0, 0.5
 PARTS = (4, 5, 6, 7, 8)
 #: Score of any other word, so that a passage ends some tens of words after its last telling token.
 DRIFT = -0.08
-#: Telling tokens that a model can have; beyond, the least significant are left out (a size of the model, not of the data).
-MAX_TERMS = 50_000
 THRESHOLD = 0.7
 #: Jaccard similarity of word 5-grams from which texts of the sample are near copies.
 NEAR = 0.75
@@ -248,35 +248,43 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     by_document = _odds(F.col("t"), toxic, F.lit(FLOOR)) - _odds(F.col("c"), other, F.lit(FLOOR))
     by_token = _odds(F.col("nt"), n_toxic, FLOOR + PRIOR * rate) - _odds(F.col("nc"), n_other, FLOOR + PRIOR * rate)
     counts = counts.select("token", by_token.alias("delta"), (by_document / F.sqrt(1 / (F.col("t") + FLOOR) + 1 / (F.col("c") + FLOOR))).alias("z"))
-    telling = counts.where((F.col("z") >= Z_LEAST) & (F.col("delta") > 0)).orderBy(F.desc("z"), "token").limit(MAX_TERMS).select("token", "delta").collect()
+    telling = counts.where((F.col("z") >= Z_LEAST) & (F.col("delta") > 0)).select("token", "delta").collect()  # each in several of MAX_LABELLED texts
     terms = {bytes(r["token"]): float(r["delta"]) for r in telling}
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(terms)
+    scores = np.array(sorted(set(terms.values())))
+    middling = float(np.median(scores)) if len(scores) else 1.0
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weights by what is counted: words (-1), segments above a middling score (-2), hits (their place in scores)."""
+        known = WordScores(terms)
         for batch in blocks(batches):
-            rows = []
-            for label, data in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True):
+            mass, n_words, above = np.zeros(len(scores)), 0.0, 0.0
+            for y, data in zip(batch.column(0).to_pylist(), as_binary(batch.column(1)), strict=True):
                 words = data.split()
-                scored = scores.of(words)
-                rows.append((label, len(words), [s for _, _, s in maximal_segments(scored)], [s for _, s in scored]))
-            y, n, found, hits = zip(*rows, strict=True) if rows else [[]] * 4
-            many = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(n, pa.int64()), pa.array(found, many), pa.array(hits, many)], names=["y", "n", "segments", "hits"])
+                scored = known.of(words)
+                n_words += (1 - y) * len(words)
+                above += (1 - y) * sum(s >= middling for _, _, s in maximal_segments(scored))
+                np.add.at(mass, np.searchsorted(scores, [s for _, s in scored]), 1 - y)
+            some = np.flatnonzero(mass)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *some.tolist()], pa.int64()), pa.array([n_words, above, *mass[some].tolist()], pa.float64())], names=["what", "n"])
+
+    told = map_arrow(texts.select("y", "words"), rates, "what long, n double").groupBy("what").agg(F.sum("n").alias("n")).collect()
+    told = {r["what"]: r["n"] for r in told}
+    mass = np.array([told.get(k, 0.0) for k in range(len(scores))])
+    lam = _lambda((mass + 0.5) / (told.get(-1, 0.0) + 1), scores) if len(scores) else 1.0
+    # K from how many segments clean texts have above a middling score
+    model = Model(terms, lam, max(told.get(-2, 0.0), 0.5) * math.exp(min(lam * middling, 100)) / max(told.get(-1, 0.0), 1), 0.0, 0.0)
 
-    told = map_arrow(texts.select("y", "words"), segments, "y double, n long, segments array<double>, hits array<double>").collect()  # MAX_LABELLED rows at most
+    def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordScores(terms)
+        for batch in blocks(batches):
+            words = [data.split() for data in as_binary(batch.column(1))]
+            found = [min(model.evidence(maximal_segments(known.of(w)), len(w)), 50.0) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(0)], names=["x", "y"])
+
+    pairs = map_arrow(texts.select("y", "words"), evidences, "x double, y double").collect()  # two numbers for each of MAX_LABELLED texts at most
     drop(texts)
-    words = sum(r["n"] * (1 - r["y"]) for r in told)
-    scores = np.array(sorted(set(terms.values())))
-    mass = np.zeros(len(scores))
-    for r in told:
-        np.add.at(mass, np.searchsorted(scores, np.array(r["hits"], float)), 1 - r["y"])
-    lam = _lambda((mass + 0.5) / (words + 1), scores) if len(scores) else 1.0
-    # K from how many segments clean texts have above a middling score
-    middling = float(np.median(scores)) if len(scores) else 1.0
-    above = sum((1 - r["y"]) * sum(s >= middling for s in r["segments"]) for r in told)
-    model = Model(terms, lam, max(above, 0.5) * math.exp(min(lam * middling, 100)) / max(words, 1), 0.0, 0.0)
-    x = np.array([min(model.evidence([(0, 0, s) for s in r["segments"]], r["n"]), 50.0) for r in told])
-    return Model(terms, model.lam, model.k, *_logistic(x, np.array([r["y"] for r in told])))
+    return Model(terms, model.lam, model.k, *_logistic(np.array([r["x"] for r in pairs]), np.array([r["y"] for r in pairs])))
 
 
 def append_scores(df: DataFrame, model: Model, into: str, text: str = "text") -> DataFrame:
@@ -319,4 +327,5 @@ def report(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Data
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the model does not reject, unchanged."""
-    return append_scores(docs, model, "__told").where(F.col("__told.score") < THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+    (told,) = fresh(docs, "told")
+    return append_scores(docs, model, told).where(F.col(f"{told}.score") < THRESHOLD).select(*map(quoted, docs.columns))

@@ -10,7 +10,7 @@ One map over the documents, no shuffle.
 Defined results: a null or empty text has no words; a null item text has no
 windows; a null item_id stands as the empty string; items sharing an item_id
 are one item; repeated documents each get their row; an empty benchmark hits
-nothing.
+nothing; other columns pass through clean(), whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagwatch.llm.fm_index import FMIndex
-from tagwatch.llm.scratch import as_binary, blocks, map_arrow
+from tagwatch.llm.scratch import as_binary, blocks, fresh, map_arrow, quoted
 from tagwatch.llm.words import alnum_words
 
 WINDOW = 13
 #: Benchmark text in one broadcast; more goes in further passes chained in the same stage.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
 #: Symbols in one shard's index.
 SHARD_SYMBOLS = 2_000_000
 
@@ -187,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", int
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k)
         rows = [(r["name"], bytes(r["text"]) if r["text"] is not None else None) for r in part.toLocalIterator()]
-        name = into if k == n - 1 else f"__found_{k}"
+        name = into if k == n - 1 else fresh(docs, f"found{k}")[0]
         df, prior = _pass(df, spark.sparkContext.broadcast(Phrases(rows, window)), text, prior, name), name
     return df
 
@@ -213,6 +213,7 @@ def is_contaminated(n_hit, n_words):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the rule does not find contaminated, unchanged."""
-    found = contamination(docs, benchmark, into="__found")
-    n_hit = F.aggregate("__found.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.where(~is_contaminated(n_hit, F.col("__found.n_words"))).select(*docs.columns)
+    (into,) = fresh(docs, "found")
+    found = contamination(docs, benchmark, into=into)
+    n_hit = F.aggregate(f"{into}.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.where(~is_contaminated(n_hit, F.col(f"{into}.n_words"))).select(*map(quoted, docs.columns))

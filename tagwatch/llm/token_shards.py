@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tagwatch.llm.scratch import blocks, map_arrow
 from tagwatch.llm.tokens import encoder, with_end
@@ -45,12 +46,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     bounds = np.array(bounds_of(docs, shards), np.int64)
+    wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16 or end >= 1 << 16
+    kind = np.dtype("<u4" if wide else "<u2")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in blocks(batches):
             ids, counts = with_end(*own.encode(batch.column(1).to_pylist()), end)
-            data, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(counts)).tolist()
+            data, ends = ids.astype(kind).tobytes(), (kind.itemsize * np.cumsum(counts)).tolist()
             doc_ids = batch.column(0)
             shard = np.searchsorted(bounds, doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays(
@@ -65,19 +68,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
         shard = segment = size = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), np.uint16)
-            lengths = np.array([len(x) // 2 for x in held], "<u4")
+            ids = np.frombuffer(b"".join(held), kind)
+            lengths = np.array([len(x) // kind.itemsize for x in held], "<u4")
             named = _ids_bytes(doc_ids, zip_)
-            occurs = np.bincount(ids, minlength=1 << 16) > 0
-            alphabet = np.flatnonzero(occurs).astype("<u2")
-            places = (np.cumsum(occurs) - 1).astype(np.uint16)[ids]
+            occurs = np.bincount(ids) > 0
+            alphabet = np.flatnonzero(occurs).astype("<u4")
+            places = (np.cumsum(occurs) - 1).astype(kind)[ids]
             planes = zip_.compress(WaveletMatrix.build(places, width_of(alphabet)).to_bytes())
             row = [shard, segment, len(held), len(ids), named, zip_.compress(lengths.tobytes()), zip_.compress(alphabet.tobytes()), planes]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
             for s, d, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (s != shard or size + len(ids) > 2 * SEGMENT):
+                if held and (s != shard or size + len(ids) > kind.itemsize * SEGMENT):
                     yield flush()
                     segment = segment + 1 if s == shard else 0
                     held, doc_ids, size = [], [], 0
@@ -119,7 +122,7 @@ class Segment:
         null = np.frombuffer(named[:n], np.uint8)
         self.doc_ids = [None if z else d for z, d in zip(null.tolist(), np.frombuffer(named[n:], "<i8").tolist(), strict=True)]
         self.lengths = np.frombuffer(unzip(row["lengths"]), "<u4").astype(np.int64)
-        self.alphabet = np.frombuffer(unzip(row["alphabet"]), "<u2")
+        self.alphabet = np.frombuffer(unzip(row["alphabet"]), "<u4")
         self.tokens = WaveletMatrix.from_bytes(unzip(row["planes"]), row["n_tokens"], width_of(self.alphabet))
 
     def all(self) -> np.ndarray:

@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-#: The five rules joined by suffix of the host and prefix of the path, the longest kept.
+#: {words}: the junk words, by |.  The five rules joined by suffix of the host and prefix of the path, the longest kept.
 URL_FILTER = r"""
 WITH parts AS (
   SELECT row_number() OVER () AS k, page_id,
@@ -22,7 +22,7 @@ WITH parts AS (
   GROUP BY s.k
 )
 SELECT s.page_id, s.host, s.path, b.rule,
-       coalesce(b.verdict, CASE WHEN regexp_matches(s.host || s.path, '^([^/]*[.])?(spam-farm|adult-x)[.]') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(b.verdict, CASE WHEN regexp_matches(s.host, '(^|[^a-z0-9])({words})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM site s LEFT JOIN best b USING (k)
 """
 
@@ -81,4 +81,4 @@ WITH RECURSIVE v AS (
 SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
-ORACLES = {"op3_decontamination": DECONTAMINATION, "op6_jaccard_join": JACCARD_JOIN, "op8_embedding_dedup": EMBEDDING_DEDUP, "op10_url_filter": URL_FILTER}
+ORACLES = {"op3_decontamination": DECONTAMINATION, "op6_jaccard_join": JACCARD_JOIN, "op8_embedding_dedup": EMBEDDING_DEDUP}

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tagwatch.llm import decontamination, embedding_dedup, html_extract, jaccard_join, license_scan, packing, pii, scratch, token_shards, toxicity, url_filter
-from tagwatch.llm.oracles import ORACLES  # noqa: F401
+from tagwatch.llm.oracles import ORACLES as FIXED_ORACLES
+from tagwatch.llm.oracles import URL_FILTER
 
 SITE_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
-PATTERN_RULES = [("||spam-farm.", "block"), ("||adult-x.", "block")]
+#: Words that hosts of gambling, adult, spam, pill and advertising sites commonly go by.
+JUNK_WORDS = (
+    "ad ads adserver adult advert adverts banner banners bet bets betting bingo casino casinos clickbait cialis dating escort escorts gamble gambling hentai "
+    "jackpot loan loans lottery nude pharma pharmacy pill pills popup popups poker porn porno roulette sex slots spam spammer torrent torrents tracker viagra warez xxx"
+).split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +48,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "token-shards")
     token_shards.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    scratch.passing(spark, path)
     return token_shards.read(spark, path)
 
 
@@ -54,9 +60,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=1)
 
 
+def url_rules() -> list[url_filter.Rule]:
+    """The contract's site rules, and the junk words."""
+    return [url_filter.Rule.of_site(*r) for r in SITE_RULES] + [url_filter.Rule.of_word(w, "block") for w in JUNK_WORDS]
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [url_filter.Rule.of_site(*r) for r in SITE_RULES] + [url_filter.Rule.of_pattern(*r) for r in PATTERN_RULES]
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules())
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+ORACLES = {**FIXED_ORACLES, "op10_url_filter": URL_FILTER.replace("{words}", "|".join(JUNK_WORDS))}
 _OPERATORS = (
     op1_license_scan,
     op2_pii,

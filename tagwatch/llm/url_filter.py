@@ -8,7 +8,8 @@ DataFrame functions.  Up to INLINE rules the index is a literal looked up in
 the row (no shuffle); beyond, a table joined by token.
 
 Defined results: a null URL, or one without ``://``, has empty host and path
-and fits no rule; repeated pages are judged alike; page_id may be null.
+and fits no rule; repeated pages are judged alike; page_id may be null; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,6 +53,12 @@ class Rule:
         return cls(pattern, verdict, ("(?s)^(?:[^/]*\\.)?" if anchored else "(?s)") + regex, tuple(tokens), False)
 
 
+    @classmethod
+    def of_word(cls, word: str, verdict: str) -> Rule:
+        """Hosts that hold the word between marks: ``word.org``, ``my-word.net``."""
+        return cls(f"*{word}*", verdict, rf"^(?:[^/]*[^a-z0-9/])?{word}(?![a-z0-9])", (word,), False)
+
+
 def _whole_tokens(literal: str, end: bool) -> list[str]:
     """Runs of letters and digits with a literal mark on either side: whole tokens of any URL that fits."""
     found = re.finditer(r"(?<=[^a-z0-9\0])[a-z0-9]+(?=[^a-z0-9\0])", literal.lower() + ("/" if end else ""))

@@ -1,8 +1,11 @@
 """PII, toxicity, HTML, embeddings, URLs and the pipeline."""
 
+import datetime
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagwatch.llm import embedding_dedup, html_extract, pii, queries, toxicity, url_filter
+from tagwatch.llm import components as components_module
 from tagwatch.llm.components import components
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +68,159 @@ def test_values_with_numbers_around_them(spark):
     assert all(got[k] == (text, 0) for k, text in none.items())
 
 
+def moved_by_hand(text, key, symbols=None):
+    """Digits within digits, letters within their case, or the given (base, value, radix); the rest stays."""
+    told = symbols or [(48, ord(c) - 48, 10) if c.isdigit() else (97, ord(c) - 97, 26) if c.islower() else (65, ord(c) - 65, 26) if c.isupper() else (ord(c), 0, 1) for c in text]
+    free = [(v, m) for _, v, m in told if m > 1]
+    new = iter(feistel_by_hand([v for v, _ in free], [m for _, m in free], key))
+    return "".join(chr(b + (next(new) if m > 1 else 0)) for b, _, m in told)
+
+
+def check_digit(body):
+    return str(next(d for d in range(10) if luhn(f"{body}{d}")))
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def refilled(template, chars, keep):
+    new = iter(chars)
+    return "".join(c if c in keep else next(new) for c in template)
+
+
+def pseudonym_by_hand(value, key):
+    """By plain Python, kind after kind; None where the value is not valid."""
+    is_a = lambda pattern: re.fullmatch(pattern, value, re.A)
+    digits = re.sub(r"\D", "", value)
+    if is_a(pii.EMAIL):
+        name, at = value.split("@")
+        return f"{moved_by_hand(name, key + '|email')}@{at}"
+    if is_a(pii.IBAN):
+        plain = value.replace(" ", "")
+        if not 15 <= len(plain) <= 34 or mod97(plain[4:] + plain[:4]) != 1:
+            return None
+        body = moved_by_hand(plain[4:], f"{key}|iban")
+        return refilled(value, f"{plain[:2]}{98 - mod97(f'{body}{plain[:2]}00'):02d}{body}", " ")
+    if is_a(pii.IP):
+        octets = [int(x) for x in value.split(".")]
+        if max(octets) > 255 or not octets[0]:
+            return None
+        new = feistel_by_hand([octets[0] - 1, *octets[1:]], [255, 256, 256, 256], f"{key}|ip")
+        return ".".join(map(str, [new[0] + 1, *new[1:]]))
+    if is_a(pii.DATE):
+        first = bool(re.match(r"\d{4}", value))
+        y, m, d = (int(x) for x in (re.split(r"[-/.]", value) if first else reversed(re.split(r"[-/.]", value))))
+        origin = datetime.date(1800, 1, 1)
+        try:
+            day = (datetime.date(y, m, d) - origin).days
+        except ValueError:
+            return None
+        if not 0 <= day <= 146096:
+            return None
+        a, b = feistel_by_hand([day // 773, day % 773], [189, 773], f"{key}|date")
+        new, mark = origin + datetime.timedelta(a * 773 + b), value[4 if first else 2]
+        return new.strftime(f"%Y{mark}%m{mark}%d" if first else f"%d{mark}%m{mark}%Y")
+    if is_a(pii.SSN):
+        area, group, serial = (int(x) for x in value.split("-"))
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return None
+        a, g, n = feistel_by_hand([area - 2 if area > 666 else area - 1, group - 1, serial - 1], [898, 99, 9999], f"{key}|ssn")
+        return f"{a + 2 if a >= 665 else a + 1:03d}-{g + 1:02d}-{n + 1:04d}"
+    if is_a(pii.PHONE):
+        code = (re.match(r"\+(?:1(?=\D)|\d{1,3}(?=\D)|\d{2})", value) or [""])[0]
+        rest = value[len(code) :]
+        american = code in ("", "+1") and len(re.sub(r"\D", "", rest)) == 10
+        if not (8 <= len(digits) <= 15 or american):
+            return None
+        symbols, n = [], 0
+        for c in rest:
+            n += c.isdigit()
+            symbols.append((50, ord(c) - 50, 8) if american and "2" <= c <= "9" and n in (1, 4) else (48, ord(c) - 48, 10) if c.isdigit() else (ord(c), 0, 1))
+        return code + moved_by_hand(rest, f"{key}|phone", symbols)
+    if is_a(pii.CARD) and luhn(value):
+        body = moved_by_hand(digits[:-1], f"{key}|card")
+        return refilled(value, body + check_digit(body), " -")
+    return None
+
+
+def value_at_by_hand(text):
+    """The value that a run's text starts with."""
+    end = pii._AFTER
+    first = lambda pattern: (re.match(f"(?:{pattern}){end}", text, re.A) or [""])[0]
+    if re.match("[A-Z]", text):
+        known = {c: n for n, names in pii.IBAN_LENGTHS.items() for c in names.split()}
+        for n in [known[text[:2]]] if text[:2] in known else range(34, 14, -1):
+            found = first(r"[A-Z]{2}\d{2}" + r"(?: ?[A-Z0-9]{4})" * ((n - 4) // 4) + (r" ?[A-Z0-9]{%d}" % (n % 4) if n % 4 else ""))
+            plain = found.replace(" ", "")
+            if found and mod97(plain[4:] + plain[:4]) == 1:
+                return found
+        return None
+    if other := first(f"{pii.IP}|{pii.DATE}|{pii.SSN}|{pii.PHONE}"):
+        return other
+    for form in (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", *(r"\d(?:[ -]?\d){%d}" % (n - 1) for n in range(19, 12, -1))):
+        if (found := first(form)) and luhn(found):
+            return found
+    return None
+
+
+def pseudonymised_by_hand(text, key=pii.KEY):
+    out, at, n = [], 0, 0
+    for m in re.finditer(pii.ANY, text or "", re.A):
+        run = bool(re.fullmatch(pii.RUN, m[0], re.A))
+        starts = [0, *(k.end() for k in re.finditer(r"(?<=[ ./-])(?=[0-9A-Z])", m[0]))] if run else [0]
+        done = 0
+        for start in starts:
+            if start < done:
+                continue
+            value = value_at_by_hand(m[0][start : start + 64]) if run else m[0]
+            new = value and pseudonym_by_hand(value, key)
+            if value:
+                out += [text[at : m.start() + start], new or value]
+                n += new is not None and new != value
+                at, done = m.start() + start + len(value), start + len(value)
+    return None if text is None else "".join(out) + text[at:], n
+
+
+def test_pii_equals_brute_force(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def value():
+        body = digits(15)
+        card, day = body + check_digit(body), f"{rng.randrange(1, 29):02d}"
+        bban = digits(18)
+        return rng.choice([
+            card, f"{card[:4]} {card[4:8]}-{card[8:12]} {card[12:]}", digits(16), f"DE{98 - mod97(f'{bban}DE00'):02d}{bban}", f"DE{digits(20)}", f"GB82 WEST 1234 5698 7654 3{rng.choice('23')}",
+            ".".join(str(rng.randrange(300)) for _ in range(4)), f"{rng.randrange(1790, 2199)}-0{rng.randrange(1, 10)}-{day}", f"{day}.1{rng.randrange(3)}.{rng.randrange(1800, 2100)}", "2023-02-30",
+            f"{digits(3)}-{digits(2)}-{digits(4)}", f"+49 {digits(3)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+1 {digits(3)}.{digits(3)}.{digits(4)}",
+            f"Bob.{digits(2)}@mail{digits(1)}.example.com", "a@b", "a_b@c.de_f", "x@y.z.w_", digits(rng.randrange(1, 9)), "word", "BIC", "12/25",
+        ])
+
+    texts = [rng.choice(["", " ", "("]) + "".join(value() + rng.choice([" ", ", ", "; ", "\n", ".", " and "]) for _ in range(rng.randrange(1, 9))) for _ in range(400)] + [None, "", *VALUES, *INVALID]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(docs, count="n").collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == pseudonymised_by_hand(text), text
+    assert sum(n for _, n in got.values()) > 400
+
+
+@pytest.mark.parametrize("unit", ["x a@" + "b." * 500_000 + "b", "4111111111111111" + " 12" * 300_000, "9" * 1_000_000, "GB82 " + "WEST 1234 " * 100_000, "a" * 1_000_000 + "@b.c", "1.2." * 250_000, "+1 " * 300_000, "a.b@c" * 200_000])
+def test_pii_of_very_long_texts(spark, unit):
+    began = time.time()
+    got = pii.pseudonymise(spark.createDataFrame([(1, unit)], "doc_id long, text string")).first().text
+    assert (len(got) == len(unit) or unit.startswith("1.2.")) and time.time() - began < 120  # octets change their lengths
+
+
+def test_pii_of_clashing_columns(spark):
+    row = (1, "mail bob@example.com", 7, [1], "x", None)
+    columns = "doc_id long, text string, own_values int, own_pieces array<int>, `a.b` string, __parts string"
+    got = pii.pseudonymise(spark.createDataFrame([row, row], columns), count="n")
+    assert got.columns == ["doc_id", "text", "own_values", "own_pieces", "a.b", "__parts", "n"]
+    rows = got.collect()
+    assert rows[0] == rows[1] and tuple(rows[0])[2:] == (*row[2:], 1) and rows[0].text != row[1]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     days = spark.range(20_000).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("v"))
     assert days.select(pii.pseudonym(F.col("v")).alias("p")).distinct().count() == 20_000
@@ -195,6 +352,59 @@ def test_html_of_test_pages(spark):
     assert [r.text for r in html_extract.extract(odd).collect()] == ["", ""]
 
 
+def test_the_ratios_decide(monkeypatch):
+    page = f"<body><article>{BODY}<p>Short note</p></article><div>Some words beside it, not many.</div></body>"
+    usual = html_extract.main_text(page)
+    assert usual == f"{BODY_TEXT}\nShort note"
+    monkeypatch.setattr(html_extract, "SHARE", 1e9)
+    assert html_extract.main_text(page) == ""
+    monkeypatch.setattr(html_extract, "SHARE", 0.0)
+    assert html_extract.main_text(page) == f"{usual}\nSome words beside it, not many."
+
+
+LONG = "".join(f"<p>Paragraph {k}, with a fair number of words in it, and marks; so it reads as text.</p>" for k in range(5))
+LONG_TEXT = "\n".join(f"Paragraph {k}, with a fair number of words in it, and marks; so it reads as text." for k in range(5))
+MENU = "<ul>" + "".join(f'<li><a href="/{k}">Section {k}</a></li>' for k in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<body><div class=top>{MENU}</div><div class=body><h1>Title</h1>{LONG}</div><div class=end>{MENU}</div></body>", f"Title\n{LONG_TEXT}"),
+    (f"<body><div>{MENU}</div><div><div class=head><h1>Title</h1></div>{LONG}<ul><li>one item</li><li>another</li></ul></div></body>", f"Title\n{LONG_TEXT}\none item\nanother"),
+    (f"<main>{LONG}<div class=ad>Buy now, it is cheap!</div></main>", LONG_TEXT),
+    (f"<main><article>{LONG}</article><div class=ad>Buy this now, it is cheap!</div></main>", LONG_TEXT),
+    (f"<main><article>{LONG}<div class=legal><p>By law, this section of the text, on its legal side, is content.</p></div></article></main>", f"{LONG_TEXT}\nBy law, this section of the text, on its legal side, is content."),
+    (f"<body><table><tr><td>{MENU}</td><td>{LONG}</td></tr></table></body>", LONG_TEXT),
+    (f"<article>{LONG}<p>See <a href=1>this page</a> and <a href=2>that one</a>, too, for more.</p></article>", f"{LONG_TEXT}\nSee this page and that one, too, for more."),
+    (f"<body>{LONG}</body>", LONG_TEXT),
+    (f"<body><header>Site</header>{LONG}<footer>Us</footer>", LONG_TEXT),
+])
+def test_pages_of_other_kinds(page, want):
+    assert html_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000, "<div class=x>text, " * 60_000, '<a title="x>' * 90_000, "<a title='x\">" * 80_000, "<p>don't <b" * 90_000, '<a ="' * 200_000 + ">", "<!--" * 250_000, "<b><i>" * 170_000 + "</b>" * 50_000,
+    "<li><div>" + "<b><li>" * 140_000, "a<b>b</b>" * 110_000, "<" * 1_000_000, "<div></p>" * 110_000, "&amp" * 250_000, "<script>" * 120_000, "<x y=" * 200_000,
+])
+def test_hostile_pages(page):
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    html_extract.main_text(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - began < 20 and peak < 400_000_000  # tracing makes both several times as much
+
+
+def test_html_of_odd_tables(spark):
+    rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, PAGE, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extract.extract(pages).collect()
+    assert len(got) == 3 and len({r.text for r in got}) == 1
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
 def vectors_by_hand(rows, threshold):
     usable = [(i, np.array(v, float), lab) for i, v, lab in rows if v is not None and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
     count, parent = {i: 0 for i, _, _ in rows}, {i: i for i, _, _ in rows}
@@ -239,7 +449,60 @@ def test_embedding_links(spark, bucket, block, monkeypatch):
     assert embedding_dedup.links(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(3)
+    for dim in (16, 64, 200):
+        a = rng.standard_normal((300, dim))
+        b = a * 0.6 + rng.standard_normal((300, dim)) * rng.uniform(0, 1.5, (300, 1))
+        cosine = np.einsum("ij,ij->i", a, b) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
+        reach = np.diagonal(embedding_dedup.may_reach(embedding_dedup.codes(a), embedding_dedup.codes(b), dim, 0.93))
+        assert reach[cosine >= 0.93].mean() > 0.999 and (dim < 64 or reach[cosine < 0.6].mean() < 0.05)
+        assert embedding_dedup.codes(a).dtype.itemsize <= 8 * -(-dim // 64) * 5 + 12
+
+
+@pytest.mark.parametrize("size", [900, 1100, 6000])
+def test_recall_of_planted_pairs(spark, size):
+    """The production layout on either side of BUCKET, held against brute force."""
+    rng = np.random.default_rng(size)
+    v = rng.standard_normal((size, 64))
+    for k in range(0, size // 2):  # near copies about the threshold
+        noise = rng.standard_normal(64)
+        noise -= noise @ v[k] / (v[k] @ v[k]) * v[k]
+        c = rng.uniform(0.925, 0.96)
+        v[size - 1 - k] = v[k] / np.linalg.norm(v[k]) * c + noise / np.linalg.norm(noise) * math.sqrt(1 - c * c)
+    v = v.astype(np.float32)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = ((unit @ unit.T >= embedding_dedup.THRESHOLD).sum(1) - 1).tolist()
+    df = spark.createDataFrame([(k, x.tolist(), 7) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.links(df).collect()}
+    assert all(got[k] <= n for k, n in enumerate(want)) and sum(want) > size // 4
+    assert sum(got.values()) >= (1 if size <= embedding_dedup.BUCKET else 0.99) * sum(want)
+    if size == 1100:
+        assert [got[k] for k in range(size)] != [0] * size
+        assert {r.vec_id: r.n_links for r in embedding_dedup.links(df, exact=True).collect()} == dict(enumerate(want))
+
+
+def test_embedding_links_equal_the_oracle(spark):
+    """The registered SQL on vectors that have links: the table's own, each with a scaled and perturbed copy."""
+    import duckdb
+
+    own = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(8)
+    rows = []
+    for r in own.itertuples():
+        v = np.asarray(r.embedding, np.float32)
+        rows.append((int(r.vec_id), v.tolist(), int(r.label)))
+        rows.append((int(r.vec_id) + 10**6, (v * 2 + rng.standard_normal(len(v)) * np.linalg.norm(v) * rng.uniform(0.01, 0.12)).astype(np.float32).tolist(), int(r.label)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = sorted(con.execute(queries.ORACLES["op8_embedding_dedup"]).fetchall())
+    assert sorted(map(tuple, embedding_dedup.links(df).collect())) == want and sum(r[1] for r in want) > len(own) // 2
+
+
+@pytest.mark.parametrize("chunk", [components_module.CHUNK, 20])
+def test_components(spark, chunk, monkeypatch):
+    monkeypatch.setattr(components_module, "CHUNK", chunk)
     rng = random.Random(4)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
     parent = {}
@@ -262,7 +525,7 @@ URLS = ["http://a.com/en/1?x", "https://Example.COM/en/7/9", "http://x.example.n
 
 
 def test_url_rules(spark):
-    rules = [url_filter.Rule.of_site(*r) for r in queries.SITE_RULES] + [url_filter.Rule.of_pattern(*r) for r in queries.PATTERN_RULES]
+    rules = queries.url_rules() + [url_filter.Rule.of_pattern("||evil*.example^", "block")]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(URLS)], "page_id long, url string, rule string")
     want = {
         0: ("a.com", "/en/1", "com/en/", "block"), 1: ("example.com", "/en/7/9", "example.com/en/7", "allow"), 2: ("x.example.net", "/de/81", "example.net/de/8", "block"),
@@ -275,6 +538,43 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+def clashing(spark, rows):
+    """documents with columns that operators could name their own so, one with a dot, one with a back-tick."""
+    columns = "doc_id long, text string, own_found int, own_told string, `a.b` int, `c``d` int, __found int, sig string, n int, component_id long, words string"
+    return spark.createDataFrame([(i, t, 1, "x", 2, 3, 4, "s", 5, 6, "w") for i, t in rows], columns)
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = clashing(spark, [(1, "Mail bob@example.com now"), (2, None), (3, ""), (3, ""), (None, "a text"), (5, "long " * 50_000)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert len(rows) == (5 if name == "jaccard join" else 6) and all(tuple(r)[2:] == (1, "x", 2, 3, 4, "s", 5, 6, "w") for r in rows), name
+
+
+def test_url_filter_of_odd_rows(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/es/" + "a/" * 200_000), (1, None), (1, None)], "page_id long, url string")
+    got = url_filter.judge(pages, [url_filter.Rule.of_site(*r) for r in queries.SITE_RULES]).collect()
+    assert sorted(r.verdict for r in got) == ["allow", "allow", "block"]
+
+
+def test_embedding_rows_that_repeat(spark):
+    rows = [(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.01], 1), (None, [1.0, 2.0], 1), (3, [-1.0, 2.0], 1)]
+    got = embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (None, 0, None)], key=repr)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    odd = clashing(spark, [(1, "word " * 200_000), (2, "same"), (2, "same"), (None, None), (4, "")])
+    got = toxicity.append_scores(odd, model, "score").collect()
+    assert len(got) == 5 and all(0 <= r.score.score <= 1 for r in got) and got[1].score == got[2].score
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -232,6 +232,25 @@ def test_packing_loses_nothing(spark, documents):
     assert packing.pack(spark.createDataFrame(odd_rows(), DOCS), public_tokenizers.path("byte_bpe_50k.json")).where("doc_id = 3").count() == 2
 
 
+def test_packing_is_the_same_however_it_is_partitioned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    results = []
+    for n in (1, 64, 211):
+        got = packing.pack(docs.repartition(n), public_tokenizers.path("byte_bpe_50k.json")).collect()
+        padding = sum({p.sequence_id: p.padded for p in got}.values()) / sum(p.length for p in got) - 1
+        assert padding <= 0.01
+        results.append(sorted(map(tuple, got)))
+    assert results[0] == results[1] == results[2]
+
+
+def test_packing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 50)
+    docs = spark.createDataFrame([(k % 3, "one text " * 30) for k in range(900)] + [(k, f"{k} other") for k in range(100)], "doc_id long, text string")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len(got) == 1000 and len({(p.sequence_id, p.offset) for p in got}) == 1000
+    assert sum({p.sequence_id: p.padded for p in got}.values()) < 1.2 * sum(p.length for p in got) + 20 * 2048
+
+
 def test_best_fit_is_best_fit():
     rng = random.Random(3)
     lengths = np.array([rng.randrange(1, 65) for _ in range(500)])

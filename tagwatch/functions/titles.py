@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,17 @@ COLOURS = (
     "obsidian phantom cosmic aurora twilight charcoal platinum sage navy teal bronze copper ivory beige violet amber"
 ).split()
 UNITS = ("gb", "tb", "ram", "rom")
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįłńňōőřśşšťūůűźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorssstuuuzzz"
+
+
+def _unaccented() -> tuple[str, str]:
+    """Letters that compatibility decomposition turns into one ASCII character and marks, and that character; marks themselves go."""
+    pairs = [(c, "".join(x for x in unicodedata.normalize("NFKD", c) if ord(x) < 128)) for c in map(chr, range(0x80, 0x2FA20)) if unicodedata.normalize("NFKD", c) != c]
+    single = [(c, p.lower()) for c, p in pairs if len(p) == 1]
+    marks = [c for c in map(chr, range(0x300, 0x370))]
+    return "".join(c for c, _ in single) + "".join(marks), "".join(p for _, p in single)
+
+
+ACCENTED, PLAIN = _unaccented()
 
 
 def _words(names: list[str] | tuple[str, ...]) -> Column:

@@ -79,8 +79,9 @@ def confidence(rise: Column, hold: Column, n_obs: Column, over: Column, sale: Co
 def drops(obs: DataFrame, t: Thresholds = Thresholds(), sources: tuple[str, ...] | None = ("live",)) -> DataFrame:
     """Every drop preceded by an inflation, with its figures and evidence.
 
-    The points of the look-back are gathered once by a calendar window; a day has one point for each listing,
-    so an array holds lookback_days points at most.
+    Sharp drops are told by windows of single numbers first; only for them, a few in a hundred rows, are the points of
+    the look-back gathered: the window's frame takes a point only where a drop within reach needs it.  A day has one
+    point for each listing, so an array holds lookback_days points at most.
     """
     price = F.col("selling_price")
     by_day = Window.partitionBy("listing_id").orderBy("day")
@@ -95,9 +96,13 @@ def drops(obs: DataFrame, t: Thresholds = Thresholds(), sources: tuple[str, ...]
         price.alias("sale"),
         F.lag(price).over(by_day).alias("prev"),
         F.count("*").over(Window.partitionBy("listing_id")).alias("n_observations"),
-        F.collect_list(F.struct(F.col("obs_date").alias("day"), price.alias("price"))).over(back).alias("points"),
+        "day",
     )
-    sharp = seen.where((F.col("n_observations") >= t.min_observations) & (F.col("prev") > 0) & (pct(F.col("prev") - F.col("sale"), F.col("prev")) >= t.drop) & (F.size("points") >= 4))
+    is_drop = (F.col("n_observations") >= t.min_observations) & (F.col("prev") > 0) & (pct(F.col("prev") - F.col("sale"), F.col("prev")) >= t.drop)
+    seen = seen.withColumn("drop", F.coalesce(is_drop, F.lit(False)))
+    needed = seen.withColumn("needed", F.max("drop").over(by_day.rangeBetween(1, t.lookback_days)))
+    point = F.when(F.col("needed"), F.struct(F.col("obs_date").alias("day"), F.col("sale").alias("price")))
+    sharp = needed.withColumn("points", F.collect_list(point).over(back)).where(F.col("drop") & (F.size("points") >= 4))
     peaked = sharp.withColumn("top", F.array_max(F.transform("points", lambda p: p["price"]))).where("top > 0")
     days = peaked.withColumn("elevated", F.transform(F.filter("points", lambda p: p["price"] >= F.col("top") * 0.98), lambda p: p["day"]))
     days = days.withColumn("rise_start", F.array_min("elevated")).withColumn("hold_days", F.datediff(F.array_max("elevated"), F.col("rise_start")) + 1)

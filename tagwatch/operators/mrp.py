@@ -49,8 +49,9 @@ def dispersion(quotes: DataFrame, min_sellers: int = 3, tolerance_pct: float = 2
 
 
 def contradictions(quotes: DataFrame, tolerance_pct: float = 2.0, min_sellers: int = 3) -> DataFrame:
-    """Products whose sites' first quotes differ by more than the tolerance; only confidently matched ones (brand known)."""
-    sites = one_quote_per_site(quotes.where(F.col("brand").isNotNull()), by="first")
+    """Products whose sites' first quotes differ by more than the tolerance; only confidently matched ones (brand and model known)."""
+    sure = F.col("brand").isNotNull() & F.col("model").isNotNull()
+    sites = one_quote_per_site(quotes.where(sure), by="first")
     worst = F.min_by(F.struct("listing_id", "site_key", "mrp"), F.struct(F.negate("mrp").alias("down"), F.col("site_key").alias("site")))
     found = sites.groupBy("product_id").agg(
         F.min("canonical_title").alias("canonical_title"),
@@ -131,6 +132,7 @@ def credibility(obs: DataFrame, sources: tuple[str, ...] | None = ("live",)) ->
 
 
 def verdict():
+    # the wording and the bounds are fixed values
     return (
         F.when(F.col("n_products") < 20, "insufficient")
         .when((F.col("diversity_ratio") < 0.35) & (F.col("top5_concentration") > 0.50), "inconsistent with product-specific pricing")
@@ -158,5 +160,6 @@ def compare(profiles: DataFrame) -> DataFrame:
         F.when(two, F.col("most.site_key")).alias("most_credible"),
         F.when(two, rounded(F.col("most.diversity_ratio") - F.col("least.diversity_ratio"), 3)).alias("diversity_gap"),
         F.when(two, rounded(F.col("least.median_discount_pct") - F.col("most.median_discount_pct"), 1)).alias("discount_gap_pp"),
+        # the note is a fixed value
         F.when(~two, "comparison needs at least two retailers with MRP data").alias("note"),
     )

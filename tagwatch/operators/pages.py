@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwatch.functions.titles import parse_int, parse_price
@@ -40,23 +40,24 @@ def unescaped(text: Column) -> Column:
 
 
 def jsonld_blocks(pages: DataFrame) -> DataFrame:
-    """(url, html, block): every object of the pages' ld+json scripts; lists and @graph are flattened, trailing commas repaired."""
+    """(url, html, place, block): every object of the pages' ld+json scripts, in order of place; lists and @graph are flattened, trailing commas repaired."""
     raw = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    scripts = pages.select("url", "html", F.explode(raw).alias("raw"))
+    scripts = pages.select("url", "html", F.posexplode(raw).alias("script", "raw"))
     fixed = F.regexp_replace("raw", r",\s*([}\]])", "$1")
     data = F.coalesce(F.try_parse_json("raw"), F.try_parse_json(fixed))
-    text = scripts.select("url", "html", F.trim(F.to_json(data)).alias("doc")).where("doc is not null")
+    text = scripts.select("url", "html", "script", F.trim(F.to_json(data)).alias("doc")).where("doc is not null")
     as_list = lambda c: F.from_json(c, "array<string>")
-    tops = text.select("url", "html", F.explode(F.when(F.startswith("doc", F.lit("[")), as_list(F.col("doc"))).otherwise(F.array("doc"))).alias("top"))
+    tops = text.select("url", "html", "script", F.posexplode(F.when(F.startswith("doc", F.lit("[")), as_list(F.col("doc"))).otherwise(F.array("doc"))).alias("at", "top"))
     graph = F.get_json_object("top", "$.@graph")
     each = F.when(F.startswith(graph, F.lit("[")), as_list(graph)).otherwise(F.array("top"))
-    return tops.select("url", "html", F.explode(each).alias("block")).where(F.startswith("block", F.lit("{")))
+    blocks = tops.select("url", "html", "script", "at", F.posexplode(each).alias("within", "block")).where(F.startswith("block", F.lit("{")))
+    return blocks.select("url", "html", F.struct("script", "at", "within").alias("place"), "block")
 
 
 def jsonld_products(pages: DataFrame, mrp_paths: Sequence[str] = ("offers.highPrice", "offers.listPrice")) -> DataFrame:
     """One row per page with a priced Product: the first such block."""
     at = lambda path: F.get_json_object("block", path)
-    rows = jsonld_blocks(pages.withColumn("__page", F.col("url"))).where(F.lower(at("$.@type")) == "product")
+    rows = jsonld_blocks(pages).where(F.lower(at("$.@type")) == "product")
     offer = F.when(F.startswith(at("$.offers"), F.lit("[")), at("$.offers[0]")).otherwise(at("$.offers"))
     rows = rows.withColumn("offer", offer)
     of = lambda path: F.get_json_object("offer", f"$.{path}")
@@ -70,13 +71,16 @@ def jsonld_products(pages: DataFrame, mrp_paths: Sequence[str] = ("offers.highPr
     stock = F.nullif(F.lower(of("availability")), F.lit(""))
     told = rows.select(
         "url",
+        "place",
         unescaped(at("$.name")).alias("raw_title"),
         price.alias("selling_price"),
         F.when(mrp >= price, mrp).alias("mrp"),
         F.when(F.replace(stock, F.lit("_"), F.lit("")).contains("outofstock"), 0).when(stock.isNotNull(), 1).alias("in_stock"),
         F.coalesce(F.get_json_object(at("$.brand"), "$.name"), at("$.brand")).alias("brand"),
     )
-    return told.where((F.col("raw_title") != "") & F.col("selling_price").isNotNull()).dropDuplicates(["url"])
+    priced = told.where((F.col("raw_title") != "") & F.col("selling_price").isNotNull())
+    kept = [c for c in told.columns if c not in ("url", "place")]
+    return priced.groupBy("url").agg(F.min_by(F.struct(*kept), "place").alias("first")).select("url", "first.*")
 
 
 def jsonld_listing(pages: DataFrame) -> DataFrame:
@@ -228,3 +232,105 @@ def fingerprint_collisions(products: DataFrame) -> DataFrame:
     a, b = prints.alias("a"), prints.alias("b")
     same = (F.col("a.mark") == F.col("b.mark")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.category") < F.col("b.category"))
     return a.join(b, same).select(F.col("a.category").alias("category_a"), F.col("b.category").alias("category_b"), F.col("a.n").alias("n_products"))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link as a page at ``base`` means it: absolute, //host, /path, ?query, or beside the page."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    site = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.when(path == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    whole = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(path, link))
+        .when(link == "", base)
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_extract(base, "^[^#]*", 0), link))
+        .otherwise(F.concat(folder, link))
+    )
+    # dot segments of what stands before the query
+    head, tail = F.regexp_extract(whole, r"^[^?#]*", 0), F.regexp_extract(whole, r"[?#].*$", 0)
+    root = F.regexp_extract(head, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+    steps = F.split(F.substring(head, F.length(root) + 2, F.length(head)), "/")
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
+    )
+    last = F.element_at(steps, -1).isin(".", "..")
+    plain = F.concat(root, F.lit("/"), F.array_join(kept, "/"), F.when(last & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(head.rlike(r"/\.{1,2}(/|$)"), F.concat(plain, tail)).otherwise(whole)
+
+
+def archived(pages: DataFrame, selectors: Mapping[str, str]) -> DataFrame:
+    """(url, raw_title, selling_price, mrp): from schema.org, else by selectors, else the amount repeated most; pages without title or price give none."""
+    told = jsonld_products(pages).select("url", F.struct("raw_title", "selling_price", "mrp").alias("a"))
+    found = css_items(pages, None, selectors).select("url", F.struct("raw_title", "selling_price", "mrp").alias("b"))
+    modal = modal_price(pages).select("url", F.col("price").alias("c"))
+    name = unescaped(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    rows = pages.select("url", F.nullif(name, F.lit("")).alias("name")).join(told, "url", "left").join(found, "url", "left").join(modal, "url", "left")
+    by_selector = F.col("a.selling_price").isNull()
+    return rows.select(
+        "url",
+        F.coalesce("a.raw_title", "b.raw_title", "name").alias("raw_title"),
+        F.coalesce("a.selling_price", "b.selling_price", "c").alias("selling_price"),
+        F.coalesce(F.col("a.mrp"), F.when(by_selector, F.col("b.mrp"))).alias("mrp"),
+    ).where("raw_title is not null and selling_price is not null")
+
+
+def selector_health(pages: DataFrame, item: str, selectors: Mapping[str, str]) -> DataFrame:
+    """By category: how many items the selectors find, and in how many each field.  pages: category, url, html."""
+    found = css_items(pages, item, selectors).join(pages.select("url", "category"), "url", "right")
+    fields = {"title": "raw_title", "url": "item_url", "selling_price": "selling_price", "mrp": "mrp"}
+    counts = found.groupBy("category").agg(F.count("raw_title").alias("items_found"), *[F.count(c).alias(f"n_{n}") for n, c in fields.items()])
+    return counts.withColumn("ok", (F.col("items_found") > 0) & (F.col("n_url") > 0) & (F.col("n_selling_price") > 0))
+
+
+def category_health(products: DataFrame) -> DataFrame:
+    """By category: products found, and whether no other category holds the very same ones.  products: (category, url)."""
+    same = fingerprint_collisions(products)
+    hit = same.select(F.col("category_a").alias("category")).union(same.select("category_b")).distinct().withColumn("collides", F.lit(True))
+    counts = products.groupBy("category").agg(F.count_distinct("url").alias("products_found"))
+    told = counts.join(hit, "category", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
+    return told.withColumn("ok", (F.col("products_found") > 0) & ~F.col("collides"))
+
+
+def detail_probe(pages: DataFrame) -> DataFrame:
+    """(url, ok, price, mrp, title) of detail pages: whether their schema.org block yields a price."""
+    found = jsonld_products(pages)
+    return pages.select("url").join(found, "url", "left").select("url", F.col("selling_price").isNotNull().alias("ok"), F.col("selling_price").alias("price"), "mrp", F.substring("raw_title", 1, 56).alias("title"))
+
+
+#: How a source's pages are read, by the name of its strategy.
+STRATEGIES = {
+    "static": lambda pages, extra: css_items(pages, extra.get("item"), extra.get("selectors", {})),
+    "json_ld": lambda pages, extra: jsonld_products(pages),
+    "json_state": lambda pages, extra: state_items(pages, extra["marker"], extra["items"], extra["fields"]),
+    "wayback": lambda pages, extra: archived(pages, extra.get("selectors", {})),
+}
+
+
+def parse_pages(strategy: str, pages: DataFrame, extra: Mapping[str, object] | None = None) -> DataFrame:
+    """Pages read by a named strategy."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known are {', '.join(sorted(STRATEGIES))}")
+    return STRATEGIES[strategy](pages, dict(extra or {}))
+
+
+def backfill(pages: DataFrame, captures: DataFrame, selectors: Mapping[str, str], most: int) -> DataFrame:
+    """Items of archived captures, the ``most`` earliest days of each link (a parameter of the crawl), with their days and source wayback.
+
+    captures: (url, day, timestamp); pages: (url, timestamp, html).
+    """
+    earliest = F.row_number().over(Window.partitionBy("url").orderBy("day"))
+    chosen = captures.withColumn("k", earliest).where(F.col("k") <= most).drop("k")
+    key = F.concat_ws(" ", "url", "timestamp")
+    rows = pages.join(chosen, ["url", "timestamp"]).withColumn("capture", key)
+    items = archived(rows.select(F.col("capture").alias("url"), "html"), selectors).withColumnRenamed("url", "capture")
+    return items.join(rows.select("capture", "url", F.col("day").alias("obs_date")), "capture").drop("capture").withColumn("source", F.lit("wayback"))
+
+
+def page_archive(pages: DataFrame, root: str) -> None:
+    """Raw pages as compressed text by day, site and label (signs replaced, 120 characters at most).  pages: obs_date, site_key, label, html."""
+    label = F.substring(F.regexp_replace("label", r"[^A-Za-z0-9._-]+", "_"), 1, 120)
+    rows = pages.select("obs_date", "site_key", label.alias("label"), F.to_json(F.struct("html")).alias("value"))
+    rows.write.mode("append").partitionBy("obs_date", "site_key", "label").option("compression", "gzip").text(root)

@@ -116,7 +116,7 @@ ORACLES["inflation_by_site"] = f"{BASE}, {EV} SELECT site_key, count(*) AS n_eve
 
 RG = f"""rg AS (
   SELECT l_partkey AS product_id, l_suppkey AS listing_id, r_name AS site_key, {r('l_extendedprice/nullif(l_quantity,0)')} AS mrp, {r('(' + r('l_extendedprice/nullif(l_quantity,0)') + ')*0.9')} AS selling_price,
-         p_name AS canonical_title, p_brand AS brand
+         p_name AS canonical_title, p_brand AS brand, CAST(year(l_shipdate)*10000+101 AS INTEGER) AS date_key
   FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey JOIN part ON l_partkey=p_partkey
 )"""
 ORACLES["mrp_dispersion_latest"] = f"""WITH {RG}, q AS (
@@ -298,13 +298,15 @@ ORACLES["jsonld_listing"] = """SELECT p_brand AS page, CAST(row_number() OVER (P
 ORACLES["modal_price"] = "SELECT '/p/' || p_partkey AS url, floor(p_retailprice) AS price FROM part"
 ORACLES["state_items"] = "SELECT '/p/' || p_partkey AS url, p_name AS raw_title, floor(p_retailprice) AS selling_price, CAST(NULL AS DOUBLE) AS mrp, CAST(NULL AS VARCHAR) AS item_url FROM part"
 ORACLES["css_items"] = "SELECT '/p/' || p_partkey AS url, p_name AS raw_title, '/x/' || p_partkey AS item_url, floor(p_retailprice) AS selling_price, CAST(NULL AS DOUBLE) AS mrp, CAST(NULL AS INTEGER) AS rating_count, CAST(NULL AS INTEGER) AS in_stock FROM part"
-ORACLES["category_fingerprint_collisions"] = """WITH p AS (SELECT p_type AS category, p_name AS url FROM part WHERE p_size < 6), u AS (SELECT * FROM p UNION ALL SELECT 'COPY', url FROM p WHERE category = 'ECONOMY'),
+ORACLES["category_fingerprint_collisions"] = """WITH p AS (SELECT p_type AS category, p_name AS url FROM part), u AS (SELECT * FROM p UNION ALL SELECT 'COPY', url FROM p WHERE category = 'ECONOMY'),
 f AS (SELECT category, list_sort(list(url)) AS mark, count(DISTINCT url) AS n FROM u GROUP BY 1)
 SELECT a.category AS category_a, b.category AS category_b, a.n AS n_products FROM f a JOIN f b ON a.mark = b.mark AND a.category < b.category"""
 _DAILY = f"daily AS (SELECT site_key, obs_date, {r(avg('selling_price'))} AS avg_price FROM obs WHERE source = 'live' GROUP BY 1, 2)"
 _W7 = "(PARTITION BY site_key ORDER BY obs_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)"
 ORACLES["rolling_7d_avg"] = f"{BASE}, {_DAILY} SELECT site_key, obs_date, avg_price, {r(avg('avg_price', f' OVER {_W7}'), 4)} AS rolling_avg FROM daily"
-ORACLES["price_30d_ago"] = f"{BASE}, {_DAILY} SELECT a.site_key, a.obs_date, a.avg_price, b.avg_price AS price_then, {r(pct('a.avg_price-b.avg_price', 'b.avg_price'))} AS change_pct FROM daily a LEFT JOIN daily b ON a.site_key = b.site_key AND b.obs_date = a.obs_date - 7"
+_QUARTER = f"""obs AS (SELECT listing_id, 'nation' || s_nationkey AS site_key, obs_date, selling_price, 'live' AS source
+  FROM (SELECT l_suppkey AS listing_id, CAST(l_shipdate AS DATE) AS obs_date, min({r('l_extendedprice/nullif(l_quantity,0)')}) AS selling_price FROM lineitem GROUP BY 1, 2) JOIN supplier ON s_suppkey = listing_id)"""
+ORACLES["price_30d_ago"] = f"WITH {_QUARTER}, {_DAILY} SELECT a.site_key, a.obs_date, a.avg_price, b.avg_price AS price_then, {r(pct('a.avg_price-b.avg_price', 'b.avg_price'))} AS change_pct FROM daily a LEFT JOIN daily b ON a.site_key = b.site_key AND b.obs_date = a.obs_date - 30"
 ORACLES["trailing_30d_min_premium"] = f"""{BASE}, w AS (SELECT *, min(selling_price) OVER (PARTITION BY listing_id ORDER BY obs_date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) AS low FROM obs WHERE source = 'live')
 SELECT listing_id, obs_date, selling_price, low AS trailing_min, {r(pct('selling_price-low', 'low'))} AS premium_pct FROM w"""
 _SIDE = lambda k: avg("computed_discount_pct", where=f" FILTER (is_festival = {k})")
@@ -328,3 +330,51 @@ _HEAD = "CASE p_partkey % 4 WHEN 1 THEN 'iphone' WHEN 2 THEN 'acme' END"
 ORACLES["parse_title"] = f"""WITH t AS (SELECT p_partkey, {_BRAND} AS brand, concat_ws(' ', {_HEAD}, nullif({_NAME}, ''), 'x' || (p_partkey % 100)) AS model, {_VARIANT} AS variant FROM part)
 SELECT p_partkey, concat_ws('|', coalesce(brand, 'unknown'), model, variant) AS match_key, brand, model, variant,
        array_to_string(list_transform(string_split(concat_ws(' ', brand, model, replace(variant, 'gb', 'Gb')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS canonical_title, brand IS NOT NULL AS is_confident FROM t"""
+
+ORACLES["stream_sliding_average"] = f"""WITH w AS (
+  SELECT CAST(ts AS DATE) - CAST(k.range AS INTEGER) AS first_day, event_type, value FROM events, range(7) k
+) SELECT first_day, event_type, count(value) AS n, {r(avg('value'), 4)} AS average FROM w GROUP BY 1, 2"""
+
+# ingest: what the warehouse must hold, straight from the events
+ITEMS = f"""{BASE}, it AS (
+  SELECT listing_id AS k, site_key, 'https://' || site_key || '.example/p/' || listing_id AS url, title, category, obs_date, date_key, source, listing_id % 50 = 8 AS bad,
+         CASE WHEN listing_id % 50 <> 7 THEN CASE WHEN listing_id % 10 = 1 THEN {r('selling_price+1')} ELSE selling_price END END AS selling_price, mrp, selling_price AS first_price
+  FROM obs
+), fact AS (SELECT * FROM it WHERE NOT bad AND selling_price IS NOT NULL)"""
+_LATE = "obs_date >= DATE '2024-01-16'"
+ORACLES["store_items"] = f"""{ITEMS} SELECT CAST(sum(CASE WHEN k % 10 = 1 THEN 2 ELSE 1 END) FILTER (NOT bad AND selling_price IS NOT NULL) AS BIGINT) AS stored,
+  CAST(sum(CASE WHEN k % 10 = 1 THEN 2 ELSE 1 END) FILTER (bad) AS BIGINT) AS skipped,
+  count(DISTINCT title) FILTER (NOT bad AND k NOT IN (SELECT k FROM it WHERE obs_date < DATE '2024-01-16')) AS products_created,
+  CAST(sum(CASE WHEN k % 10 = 1 THEN 2 ELSE 1 END) FILTER (NOT bad AND selling_price IS NOT NULL AND k % 3 = 0) AS BIGINT) AS dark_patterns,
+  count(*) FILTER (NOT bad AND selling_price IS NULL) AS discovered FROM it WHERE {_LATE}"""
+ORACLES["ingest_then_timeline"] = f"""{ITEMS}, w AS (
+  SELECT f.*, c.is_festival, lag(selling_price) OVER (PARTITION BY k ORDER BY date_key) AS prev_price, count(*) OVER (PARTITION BY k) AS n_observations FROM fact f JOIN cal c USING (date_key) WHERE source = 'live'
+) SELECT url, CASE WHEN true THEN upper(title[1]) || title[2:] END AS title, category, obs_date, is_festival, selling_price, mrp, prev_price, {r('selling_price-prev_price')} AS price_delta, n_observations FROM w"""
+ORACLES["ingest_star_counts"] = f"""{ITEMS}, g AS (SELECT * FROM it WHERE NOT bad)
+SELECT * FROM (SELECT 'dim_product' AS name, count(DISTINCT title) AS n FROM g UNION ALL SELECT 'dim_listing', count(DISTINCT url) FROM g
+  UNION ALL SELECT 'dim_seller', count(DISTINCT (site_key, CASE WHEN k % 3 = 0 THEN k % 7 END)) FROM g UNION ALL SELECT 'fact_price_observation', count(*) FROM fact
+  UNION ALL SELECT 'fact_dark_pattern', count(*) FROM fact WHERE k % 3 = 0 UNION ALL SELECT 'dim_date', max(obs_date) - min(obs_date) + 1 FROM g
+  UNION ALL SELECT unnest(['analysis_run', 'inflation_event', 'mrp_contradiction']), -1)"""
+ORACLES["ingest_listings"] = f"{ITEMS} SELECT site_key, url, any_value(title) AS raw_title, min(obs_date) AS first_seen_date, max(obs_date) AS last_seen_date FROM it WHERE NOT bad GROUP BY 1, 2"
+ORACLES["ingest_claims_star"] = f"{ITEMS} SELECT site_key, category, obs_date, count(*) AS n FROM fact WHERE k % 3 = 0 GROUP BY 1, 2, 3"
+ORACLES["mrp_dispersion_latest_day"] = ORACLES["mrp_dispersion_latest"].replace("FROM rg WHERE mrp > 0", "FROM rg WHERE mrp > 0 AND date_key = (SELECT max(date_key) FROM rg)")
+ORACLES["panel_activate"] = f"{ITEMS} SELECT site_key, count(DISTINCT url) AS n, CASE WHEN site_key IN ('site1','site2') THEN count(DISTINCT url) ELSE 0 END AS n_active FROM it WHERE NOT bad GROUP BY 1"
+ORACLES["archived_extract"] = """SELECT '/p/' || p_partkey AS url, CASE WHEN p_partkey % 3 = 0 THEN 'Item & ' || p_name ELSE p_name END AS raw_title, floor(p_retailprice) AS selling_price,
+  CASE WHEN p_partkey % 3 = 0 AND p_size >= 25 THEN floor(p_retailprice) + p_size - 25 END AS mrp FROM part"""
+ORACLES["resolved_links"] = """SELECT p_partkey, ['https://shop.example/a/b?c', 'https://shop.example/d/' || p_partkey || '/c', 'https://other.example/x', 'https://z.example/',
+  'https://shop.example/d/' || p_partkey || '/page?page=2', 'https://shop.example/d/up', 'https://shop.example/d/' || p_partkey || '/page?x=1#top'][p_partkey % 7 + 1] AS url FROM part"""
+ORACLES["category_health"] = """WITH u AS (SELECT p_type AS category, p_name AS url FROM part UNION ALL SELECT 'COPY', p_name FROM part WHERE p_type = 'ECONOMY'),
+f AS (SELECT category, list_sort(list_distinct(list(url))) AS mark, count(DISTINCT url) AS products_found FROM u GROUP BY 1)
+SELECT category, products_found, EXISTS (SELECT 1 FROM f b WHERE b.mark = a.mark AND b.category <> a.category) AS collides,
+  products_found > 0 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.mark = a.mark AND b.category <> a.category) AS ok FROM f a"""
+ORACLES["pseudo_sku"] = "SELECT p_partkey, upper(md5(p_name)[1:7]) AS sku FROM part"
+ORACLES["export_date_dim"] = f"""{ITEMS} SELECT date_key, date, is_festival, days_to_festival FROM cal
+WHERE date_key BETWEEN (SELECT min(date_key) FROM it WHERE NOT bad) AND (SELECT max(date_key) FROM it WHERE NOT bad) AND (date_key IN (SELECT date_key FROM fact) OR date BETWEEN DATE '2024-05-20' - 120 AND DATE '2024-05-20' + 60)"""
+ORACLES["view_daily_prices"] = f"{ITEMS} SELECT site_key, count(*) AS n, min(selling_price) AS low, max(selling_price) AS high FROM fact WHERE source = 'live' GROUP BY 1"
+ORACLES["verdict_update"] = """SELECT c_custkey AS event_id, CASE WHEN c_custkey % 4 < 3 THEN 1 ELSE 0 END AS manually_reviewed, CASE c_custkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'rejected' WHEN 2 THEN 'unclear' END AS reviewer_verdict,
+  CASE WHEN c_custkey % 4 < 3 THEN c_mktsegment END AS reviewer_note FROM customer"""
+# the pages name one number after "only" and the word "hurry"
+_LOW = "'hurry, only ' || p_size || ' left! now ₹' || format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) || ' was ₹' || format('{:,}', CAST(floor(p_retailprice) + p_size - 25 AS BIGINT)) || ' now ₹' || format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) || ' save ₹12'"
+ORACLES["urgency_extract"] = f"""WITH t AS (SELECT '/p/' || p_partkey AS url, p_size, {_LOW} AS x FROM part)
+SELECT url, 'stock_claim' AS kind, trim(x[greatest(strpos(x, 'only') - 30, 1):strpos(x, 'only') + length('only ' || p_size || ' left') + 29]) AS snippet, CAST(p_size AS DOUBLE) AS value FROM t
+UNION ALL SELECT url, 'stock_claim', trim(x[1:5 + 30]), NULL FROM t"""

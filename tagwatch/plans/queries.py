@@ -10,7 +10,7 @@ from tagwatch.functions.numbers import date_key, rounded
 from tagwatch.operators import anomaly, features, inflation, marts, merge, mrp, pages, scarcity, timeline, validation
 from tagwatch.operators.calendar import calendar
 from tagwatch.sources import synthetic
-from tagwatch.sources.projections import WINDOWS, claims, dates, region_quotes, table, user_days
+from tagwatch.sources.projections import WINDOWS, claims, dates, quarter_days, region_quotes, table, user_days
 from tagwatch.streaming import days
 
 QUERIES = {}
@@ -401,7 +401,7 @@ def css_items(s, d):
 
 @query
 def category_fingerprint_collisions(s, d):
-    p = table(s, d, "part").where("p_size < 6").select(F.col("p_type").alias("category"), F.col("p_name").alias("url"))
+    p = table(s, d, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("url"))
     return pages.fingerprint_collisions(p.union(p.where("category = 'ECONOMY'").select(F.lit("COPY"), "url")))
 
 
@@ -412,7 +412,7 @@ def rolling_7d_avg(s, d):
 
 @query
 def price_30d_ago(s, d):
-    return timeline.price_days_ago(user_days(s, d), 7)
+    return timeline.price_days_ago(quarter_days(s, d), 30)
 
 
 @query
@@ -456,12 +456,21 @@ def _as_stream(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_daily_windows(s, d):
-    rows = days.to_memory(days.daily_windows(_as_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))), "tagwatch_daily", "complete", days.checkpoint_folder(s))
+    rows = days.to_table(days.daily_windows(_as_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))), days.checkpoint_folder(s), "complete")
     return rows.select(F.col("window.start").cast("date").alias("day"), "event_type", "n", "hundredths")
 
 
 @query
 def stream_static_run(s, d):
     rows = _as_stream(s, d).select(F.col("user_id").alias("listing_id"), F.col("ts").cast("timestamp").alias("at"), F.floor(F.col("value") / 100).cast("double").alias("numeric_value"))
-    out = days.to_memory(days.static_runs(rows), "tagwatch_runs", "update", days.checkpoint_folder(s))
+    out = days.to_table(days.static_runs(rows), days.checkpoint_folder(s), "update")
     return out.groupBy("listing_id").agg(F.max("longest_static_run").alias("longest_static_run"))
+
+
+@query
+def stream_sliding_average(s, d):
+    rows = days.to_table(days.sliding_average(_as_stream(s, d).withColumn("ts", F.col("ts").cast("timestamp"))), days.checkpoint_folder(s), "complete")
+    return rows.select(F.col("window.start").cast("date").alias("first_day"), "event_type", "n", rounded(F.col("hundredths") / (F.col("n") * 100.0), 4).alias("average"))
+
+
+from tagwatch.plans import warehouse_queries  # noqa: E402, F401  (registers its queries here)

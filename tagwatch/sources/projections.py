@@ -45,8 +45,8 @@ def region_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, su, na, re, pa = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region", "part"))
     sites = su.join(na, su.s_nationkey == na.n_nationkey).join(re, na.n_regionkey == re.r_regionkey).select("s_suppkey", F.col("r_name").alias("site_key"))
     unit = rounded(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)))
-    lines = li.select("l_partkey", "l_suppkey", unit.alias("unit")).join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
-    return lines.join(pa.select("p_partkey", "p_name", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
+    lines = li.select("l_partkey", "l_suppkey", "l_shipdate", unit.alias("unit")).join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.join(pa.select("p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("listing_id"),
         "site_key",
@@ -55,6 +55,8 @@ def region_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").alias("list_price"),
         F.col("p_name").alias("canonical_title"),
         F.col("p_brand").alias("brand"),
+        F.col("p_type").alias("model"),
+        (F.year("l_shipdate") * 10000 + 101).cast("int").alias("date_key"),
     )
 
 
@@ -70,3 +72,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("value") / 100).cast("double").alias("numeric_value"),
         F.lit("live").alias("source"),
     )
+
+
+def quarter_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of ``lineitem`` over its years: a listing for each supplier, a site for each of their nations, the least unit price of a day."""
+    li, su = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    unit = rounded(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0)))
+    days = li.groupBy(F.col("l_suppkey").alias("listing_id"), F.col("l_shipdate").cast("date").alias("obs_date")).agg(F.min(unit).alias("selling_price"))
+    sites = su.select(F.col("s_suppkey").alias("listing_id"), F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("site_key"))
+    return days.join(sites, "listing_id").select("listing_id", "site_key", "obs_date", date_key(F.col("obs_date")).alias("date_key"), "selling_price", F.lit("live").alias("source"))

@@ -72,3 +72,16 @@ def counters(obs: DataFrame) -> DataFrame:
     left = F.datediff("obs_date", F.min("obs_date").over(Window.partitionBy("listing_id")))
     value = F.when(k == 0, 3.0).otherwise(F.greatest(20 - F.pmod(left, F.lit(20)), F.lit(1)).cast("double"))
     return obs.where(k != 2).select("listing_id", "site_key", F.lit("stock_claim").alias("pattern_type"), F.col("obs_date").cast("timestamp").alias("at"), F.lit(0).alias("seq"), value.alias("numeric_value"), "source")
+
+
+def items(spark: SparkSession, days: int = 90, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The observations as items to ingest, with their counters as claims, and the planted truth by the listings' ids in the warehouse."""
+    obs, truth = generate(spark, days, seed=seed)
+    url = F.concat(F.lit("https://"), F.col("site_key"), F.lit(".example/p/"), F.col("listing_id").cast("string"))
+    said = counters(obs).select("listing_id", F.col("at").cast("date").alias("obs_date"), F.array(F.struct(F.col("pattern_type").alias("kind"), F.format_string("only %.0f left", "numeric_value").alias("text"), F.col("numeric_value").alias("value"))).alias("dark_patterns"))
+    rows = obs.join(said, ["listing_id", "obs_date"], "left").select(
+        F.col("listing_id").alias("seq"), "site_key", url.alias("url"), F.col("title").alias("raw_title"), "selling_price", "mrp", F.lit(None).cast("double").alias("discount_pct"), "category",
+        F.lit(None).cast("string").alias("site_product_id"), F.lit(1).alias("in_stock"), F.lit(None).cast("double").alias("rating"), F.lit(None).cast("int").alias("rating_count"),
+        F.lit(None).cast("string").alias("seller_name"), "dark_patterns", F.lit(None).cast("string").alias("raw_snapshot"), "source", "obs_date",
+    )
+    return rows, truth.withColumn("listing_id", F.xxhash64("site_key", url))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -29,25 +30,12 @@ def schema_of(name: str) -> T.StructType:
     return T._parse_datatype_string(SCHEMAS[name])
 
 
-def create(spark: SparkSession, root: str) -> None:
-    """Empty tables below root, where there are none yet."""
-    for name in SCHEMAS:
-        spark.createDataFrame([], schema_of(name)).write.mode("ignore").parquet(f"{root}/{name}")
-
-
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(schema_of(name)).parquet(f"{root}/{name}")
-
-
-def replace(df: DataFrame, root: str, name: str) -> None:
-    """Overwrite a table through a staging folder, so that readers see the old or the new one."""
-    spark = df.sparkSession
-    staging, target = f"{root}/_staging_{name}", f"{root}/{name}"
-    df.write.mode("overwrite").parquet(staging)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(target), True)
-    fs.rename(path(staging), path(target))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named and all runs in this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or f"file://{tempfile.gettempdir()}").rstrip("/")
 
 
 def query(spark: SparkSession, sql: str, *params) -> DataFrame:

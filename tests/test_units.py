@@ -227,10 +227,6 @@ def test_snapshots(spark, tmp_path):
 
 def test_tables(spark, tmp_path):
     root = str(tmp_path)
-    tables.create(spark, root)
-    assert tables.read(spark, root, "dim_seller").count() == 0
-    tables.replace(spark.createDataFrame([(1, "s", "S", None, 1)], tables.schema_of("dim_seller")), root, "dim_seller")
-    assert tables.read(spark, root, "dim_seller").count() == 1
     assert tables.export({"a": spark.range(2), "b": spark.range(1)}, f"{root}/out") == {"a": "ok", "b": "ok"}
     sites = tables.sites({"defaults": {"strategy": "static", "delay": 4}, "sites": {"x": {"base_url": "http://x", "categories": ["a"]}}})
     assert sites["x"].strategy == "static" and sites["x"].extra == {"delay": 4} and tables.sweep_plan(sites, [{"id": "a", "sites": ["x", "y"]}]) == [("x", "a")]

@@ -3,8 +3,9 @@
 A shard file is a Parquet file of segments.  A segment holds whole documents in
 ascending order of doc_id (about SEGMENT ids, or one document): its document
 ids and lengths, its alphabet (the ids that occur, ascending), and the bit
-planes of the wavelet matrix over places in that alphabet, the top bit first,
-compressed.  Spark's own writer commits the files, so a lost
+planes of the wavelet matrix over places in that alphabet, the top bit first, as
+compressed blocks with a directory of ones before each: access, count and
+occurrence lookup open only the blocks they pass through.  Spark's own writer commits the files, so a lost
 executor leaves no half file and any store that Spark knows can hold them.
 
 Defined results: a null text is empty and so is the end id alone; a null
@@ -29,7 +30,7 @@ from tagwatch.llm.tokens import encoder, with_end
 from tagwatch.llm.wavelet_matrix import WaveletMatrix
 
 SEGMENT = 2_000_000
-FILE = "shard int, segment int, n_docs long, n_tokens long, doc_ids binary, lengths binary, alphabet binary, planes binary"
+FILE = "shard int, segment int, n_docs long, n_tokens long, doc_ids binary, lengths binary, alphabet binary, planes array<binary>, ones binary"
 
 
 def bounds_of(docs: DataFrame, shards: int) -> list[int]:
@@ -74,8 +75,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
             occurs = np.bincount(ids) > 0
             alphabet = np.flatnonzero(occurs).astype("<u4")
             places = (np.cumsum(occurs) - 1).astype(kind)[ids]
-            planes = zip_.compress(WaveletMatrix.build(places, width_of(alphabet)).to_bytes())
-            row = [shard, segment, len(held), len(ids), named, zip_.compress(lengths.tobytes()), zip_.compress(alphabet.tobytes()), planes]
+            planes, ones = WaveletMatrix.build(places, width_of(alphabet)).stored(zip_.compress)
+            row = [shard, segment, len(held), len(ids), named, zip_.compress(lengths.tobytes()), zip_.compress(alphabet.tobytes()), planes, ones]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
@@ -99,7 +100,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, shards: int
 
 
 _NAMES = [c.split()[0] for c in FILE.split(", ")]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
 
 
 def width_of(alphabet: np.ndarray) -> int:
@@ -123,7 +124,7 @@ class Segment:
         self.doc_ids = [None if z else d for z, d in zip(null.tolist(), np.frombuffer(named[n:], "<i8").tolist(), strict=True)]
         self.lengths = np.frombuffer(unzip(row["lengths"]), "<u4").astype(np.int64)
         self.alphabet = np.frombuffer(unzip(row["alphabet"]), "<u4")
-        self.tokens = WaveletMatrix.from_bytes(unzip(row["planes"]), row["n_tokens"], width_of(self.alphabet))
+        self.tokens = WaveletMatrix.opened(row["planes"], row["ones"], row["n_tokens"], unzip)
 
     def all(self) -> np.ndarray:
         return self.alphabet[self.tokens.all()]

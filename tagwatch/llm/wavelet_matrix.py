@@ -6,6 +6,8 @@ ones; each level keeps only its bits and running counts of ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _WORD = 64
@@ -47,8 +49,55 @@ class Bits:
         return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
 
 
+class StoredBits:
+    """A bit vector as compressed blocks of BLOCK bits with counts of ones before each; only blocks that are asked for are opened."""
+
+    SHIFT = 18
+    BLOCK = 1 << SHIFT
+
+    def __init__(self, blocks: list[bytes], before: np.ndarray, n: int, unzip: Callable[[bytes], bytes]):
+        self.n, self.blocks, self.before, self.unzip = n, blocks, before, unzip
+        self.opened: dict[int, Bits] = {}
+
+    @classmethod
+    def cut(cls, bits: Bits, zip_: Callable[[bytes], bytes]) -> tuple[list[bytes], np.ndarray]:
+        """A vector's blocks, and the counts before each and in all."""
+        words = cls.BLOCK // _WORD
+        starts = range(0, len(bits.words), words)
+        return [zip_(bits.words[k : k + words].tobytes()) for k in starts], np.append(bits.before[list(starts)], bits.before[-1])
+
+    def _block(self, k: int) -> Bits:
+        if k not in self.opened:
+            self.opened[k] = Bits(np.frombuffer(self.unzip(self.blocks[k]), np.uint64), self.BLOCK)
+        return self.opened[k]
+
+    def _each(self, block: np.ndarray, of: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+        out = np.empty(len(block), np.int64)
+        for k in np.unique(block).tolist():
+            own = np.flatnonzero(block == k)
+            out[own] = of(k, own)
+        return out
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        """Ones before position i."""
+        return self._each(i >> self.SHIFT, lambda k, own: self.before[k] + self._block(k).ones(i[own] - (k << self.SHIFT)))
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return self._each(i >> self.SHIFT, lambda k, own: self._block(k).at(i[own] - (k << self.SHIFT)))
+
+    def select(self, k: np.ndarray, bit: int) -> np.ndarray:
+        """Position of the k-th (from 0) one or zero: a search for the block, then within it."""
+        before = self.before[:-1] if bit else np.arange(len(self.blocks)) * self.BLOCK - self.before[:-1]
+        block = np.searchsorted(before, k, side="right") - 1
+        return self._each(block, lambda b, own: (b << self.SHIFT) + self._block(b).select(k[own] - before[b], bit))
+
+    def unpack(self) -> np.ndarray:
+        words = np.frombuffer(b"".join(map(self.unzip, self.blocks)), np.uint64)
+        return np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+
+
 class WaveletMatrix:
-    def __init__(self, n: int, levels: list[Bits]):
+    def __init__(self, n: int, levels: list[Bits] | list[StoredBits]):
         self.n, self.levels = n, levels
         self.zeros = [x.n - int(x.before[-1]) for x in levels]
 
@@ -97,8 +146,9 @@ class WaveletMatrix:
             at = self.levels[depth].select(at - (self.zeros[depth] if bit else 0), bit)
         return at
 
-    def all(self, dtype: type = np.uint16) -> np.ndarray:
+    def all(self) -> np.ndarray:
         """The whole sequence: the splits undone from the last level up."""
+        dtype = np.uint16 if len(self.levels) <= 16 else np.uint32
         values = np.zeros(self.n, dtype)
         for depth in range(len(self.levels) - 1, -1, -1):
             bit = self.levels[depth].unpack()
@@ -108,10 +158,14 @@ class WaveletMatrix:
             values = below
         return values
 
-    def to_bytes(self) -> bytes:
-        return b"".join(x.words.tobytes() for x in self.levels)
+    def stored(self, zip_: Callable[[bytes], bytes]) -> tuple[list[bytes], bytes]:
+        """All levels' blocks one after another, and their counts."""
+        cut = [StoredBits.cut(x, zip_) for x in self.levels]
+        return [block for blocks, _ in cut for block in blocks], b"".join(before.astype("<u8").tobytes() for _, before in cut)
 
     @classmethod
-    def from_bytes(cls, data: bytes, n: int, width: int) -> WaveletMatrix:
-        words = np.frombuffer(data, np.uint64).reshape(width, -1)
-        return cls(n, [Bits(words[k], n) for k in range(width)])
+    def opened(cls, blocks: list[bytes], counts: bytes, n: int, unzip: Callable[[bytes], bytes]) -> WaveletMatrix:
+        """Over what stored() gave."""
+        each = n // _WORD // (StoredBits.BLOCK // _WORD) + 1
+        before = np.frombuffer(counts, "<u8").astype(np.int64).reshape(-1, each + 1)
+        return cls(n, [StoredBits(blocks[k * each : (k + 1) * each], own, n, unzip) for k, own in enumerate(before)])

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tagwatch.llm import decontamination, jaccard_join, license_scan, packing, scratch, token_shards
 from tagwatch.llm.tokens import TextEncoder
+from tagwatch.llm.wavelet_matrix import StoredBits, WaveletMatrix
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -195,6 +196,24 @@ def test_token_shards_round_trip(spark, documents):
     assert segment.locate(token).tolist() == [k for k in range(row["n_tokens"]) if every[k] == token]
 
 
+def test_a_wavelet_matrix_opens_only_what_it_needs(monkeypatch):
+    monkeypatch.setattr(StoredBits, "SHIFT", 7)
+    monkeypatch.setattr(StoredBits, "BLOCK", 1 << 7)
+    rng = np.random.default_rng(5)
+    for n, top in ((1, 1), (63, 5), (64, 9), (128, 2), (5000, 300), (5000, 70_000)):
+        values = rng.integers(0, top, n).astype(np.uint32)
+        width = max(1, (top - 1).bit_length())
+        plain = WaveletMatrix.build(values, width)
+        stored = WaveletMatrix.opened(*plain.stored(bytes), n, bytes)
+        at = rng.integers(0, n, 5)
+        assert stored.access(at)[0].tolist() == values[at].tolist()
+        assert all(len(x.opened) <= 10 for x in stored.levels) and (n < 5000 or len(stored.levels[0].blocks) > 30)
+        assert stored.all().tolist() == values.tolist()
+        for v in values[:3].tolist():
+            assert stored.rank(np.array([v]), np.array([n]))[0] == (values == v).sum()
+            assert stored.locate(v).tolist() == np.flatnonzero(values == v).tolist() == plain.locate(v).tolist()
+
+
 def test_token_shards_of_odd_rows(spark):
     path = scratch.new_path(spark, "shards")
     token_shards.write(spark.createDataFrame(odd_rows(), DOCS), path, public_tokenizers.path("word_bpe_49k.json"), shards=2)
@@ -297,3 +316,11 @@ def test_license_scan_equals_full_alignment(spark):
     assert {(r.doc_id, r.license) for r in got} == want and len(want) >= len(license_scan.TEMPLATES)
     assert all(r.start < r.end and 0 < r.coverage <= 1 for r in got)
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_license_spans(spark):
+    """A template word for word, between other words: its very span, all of it."""
+    rows = [(k, " ".join([f"x{j}" for j in range(30)] + [text] + [f"y{j}" for j in range(30)])) for k, text in enumerate(license_scan.TEMPLATES.values())]
+    got = {(r.doc_id, r.license): (r.start, r.end, r.coverage) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, text) in enumerate(license_scan.TEMPLATES.items()):
+        assert got[k, name] == (30, 30 + len(WORD.findall(lower(text))), 1.0)

@@ -48,7 +48,12 @@ def main() -> None:
         began = time.time()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, cold", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
+    warm = {}
+    for name in HEADLINE:  # once more, when code is compiled and files are cached
+        began = time.time()
+        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+        warm[name] = round(time.time() - began, 3)
+    print(json.dumps({"metric": "headline queries, cold", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "warm": warm, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
 
 
 if __name__ == "__main__":

@@ -67,7 +67,7 @@ def _listings(house: Warehouse, rows: DataFrame) -> DataFrame:
     """A known listing gets the batch's last day and is active again; its product and seller stay."""
     at = F.struct("obs_date", "seq")
     kept = ("product_id", "seller_id", "site_key", "site_product_id", "url", "raw_title")
-    seen = rows.groupBy("listing_id").agg(F.min_by(F.struct(*kept), at).alias("n"), F.min("obs_date").alias("first"), F.max_by("obs_date", F.struct("seq")).alias("last"))
+    seen = rows.groupBy("listing_id").agg(F.min_by(F.struct(*kept), at).alias("n"), F.min("obs_date").alias("first"), F.max("obs_date").alias("last"))
     both = house.read("dim_listing").join(seen, "listing_id", "full_outer")
     return both.select(
         "listing_id",
@@ -108,7 +108,7 @@ def upsert_dates(house: Warehouse, first: str, last: str, windows: list[tuple[st
 
 def store_items(house: Warehouse, items: DataFrame, windows: list[tuple[str, str, str]] = (), site_names: Mapping[str, str] | None = None) -> DataFrame:
     """Stage a batch of items; one row of counters: stored, skipped, discovered, products_created, dark_patterns."""
-    rows = prepared(items)
+    rows = house.scratch(prepared(items))  # parsed once, read by each merge
     known = house.read("dim_product").select("match_key")
     stored = F.col("selling_price").isNotNull()
     told = rows.agg(
@@ -126,6 +126,7 @@ def store_items(house: Warehouse, items: DataFrame, windows: list[tuple[str, str
             house.write(name, made)
         house.write("fact_price_observation", _observations(house, rows))
         house.write("fact_dark_pattern", _claims(house, rows))
+    house.clear()
     return house.spark.createDataFrame(
         [(told["stored"], skipped, created, told["dark_patterns"], told["discovered"])], "stored long, skipped long, products_created long, dark_patterns long, discovered long"
     )

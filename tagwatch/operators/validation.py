@@ -45,7 +45,7 @@ def precision_report(reviews: DataFrame, verdict: str = "reviewer_verdict") -> D
 
 def draw_sample(events: DataFrame, n: int = 100, seed: int = 20260816, key: str = "listing_id") -> DataFrame:
     """n events in a random order that the seed fixes, with blank review columns."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     return events.orderBy(order, key).limit(n).withColumn("verdict", F.lit("")).withColumn("reviewer_note", F.lit(""))
 
 

@@ -160,7 +160,7 @@ ORACLES["mrp_credibility_compare"] = f"""{BASE}, {CRED}, f AS (SELECT * FROM p O
 SELECT (SELECT count(*) FROM p) AS n_retailers, f.site_key AS least_credible, l.site_key AS most_credible, {r('l.diversity_ratio-f.diversity_ratio', 3)} AS diversity_gap,
        {r('f.median_discount_pct-l.median_discount_pct', 1)} AS discount_gap_pp, CAST(NULL AS VARCHAR) AS note FROM f, l"""
 ORACLES["mrp_most_repeated"] = f"""{BASE}, rows_ AS (
-  SELECT * FROM obs o WHERE source = 'live' AND date_key = (SELECT max(date_key) FROM obs i WHERE i.listing_id = o.listing_id AND i.source = 'live') AND mrp > 0 AND selling_price IS NOT NULL
+  SELECT * REPLACE (CAST(ceil(mrp/50)*50 AS DOUBLE) AS mrp) FROM obs o WHERE source = 'live' AND date_key = (SELECT max(date_key) FROM obs i WHERE i.listing_id = o.listing_id AND i.source = 'live') AND mrp > 0 AND selling_price IS NOT NULL
 )
 SELECT * FROM (SELECT site_key, mrp, count(*) AS n, CAST(row_number() OVER (PARTITION BY site_key ORDER BY count(*) DESC, mrp) AS INTEGER) AS place FROM rows_ GROUP BY 1, 2) WHERE place <= 6 AND n > 1"""
 
@@ -378,3 +378,10 @@ _LOW = "'hurry, only ' || p_size || ' left! now ₹' || format('{:,}', CAST(floo
 ORACLES["urgency_extract"] = f"""WITH t AS (SELECT '/p/' || p_partkey AS url, p_size, {_LOW} AS x FROM part)
 SELECT url, 'stock_claim' AS kind, trim(x[greatest(strpos(x, 'only') - 30, 1):strpos(x, 'only') + length('only ' || p_size || ' left') + 29]) AS snippet, CAST(p_size AS DOUBLE) AS value FROM t
 UNION ALL SELECT url, 'stock_claim', trim(x[1:5 + 30]), NULL FROM t"""
+
+_INGESTED = f"""{OBS.replace('obs AS (', 'obs0 AS (', 1)}, obs AS (
+  SELECT * REPLACE (CASE WHEN listing_id % 10 = 1 THEN {r('selling_price+1')} ELSE selling_price END AS selling_price) FROM obs0 WHERE listing_id % 50 NOT IN (7, 8) AND source = 'live'
+)"""
+ORACLES["ingest_events_star"] = f"""WITH {WIN}, {CAL}, {_INGESTED}, {EV_LOOSE} SELECT 'https://' || site_key || '.example/p/' || listing_id AS url, upper(title[1]) || title[2:] AS title, 'category' || (listing_id % 4) AS category,
+  baseline_price, peak_price, sale_price, rise_pct, overstatement_pp, sale_start AS sale_start_date, confidence FROM e"""
+ORACLES["validation_sample"] = f"{BASE}, {EV} SELECT *, '' AS verdict, '' AS reviewer_note FROM e ORDER BY md5('20260816|' || listing_id), listing_id LIMIT 10"

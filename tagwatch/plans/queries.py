@@ -95,7 +95,7 @@ def mrp_credibility_compare(s, d):
 
 @query
 def mrp_most_repeated(s, d):
-    return mrp.most_repeated(user_days(s, d))
+    return mrp.most_repeated(user_days(s, d).withColumn("mrp", F.ceil(F.col("mrp") / 50) * 50.0))  # stock values, so that some repeat
 
 
 @query

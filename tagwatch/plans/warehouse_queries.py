@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagwatch.functions.numbers import rounded
-from tagwatch.operators import inflation, ingest, marts, merge, mrp, pages, scarcity, stars, timeline, validation
+from tagwatch.operators import inflation, ingest, merge, mrp, pages, stars, timeline, validation
 from tagwatch.plans.queries import LOOSE, product_pages, query
-from tagwatch.sources.projections import WINDOWS, dates, region_quotes, table, user_days
+from tagwatch.sources.projections import WINDOWS, region_quotes, table, user_days
 from tagwatch.sources.tables import run_row, shared_folder
 from tagwatch.sources.warehouse import Warehouse
 
@@ -44,8 +44,21 @@ def items(s: SparkSession, d: str) -> DataFrame:
     return first.unionByName(again)
 
 
+#: Warehouses that queries of one application share, by application and tables.
+_SHARED: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
 def ingested(s: SparkSession, d: str) -> tuple[Warehouse, DataFrame]:
-    """A warehouse of the items in two commits, split by day, and the second one's counters."""
+    """A warehouse of the items, for reading, and the last commit's counters."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _SHARED:
+        _SHARED[key] = ingest_anew(s, d)
+    root, counters = _SHARED[key]
+    return Warehouse(s, root, readonly=True), counters
+
+
+def ingest_anew(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A new warehouse of the items in two commits, split by day, and the second one's counters."""
     root = f"{shared_folder(s)}/tagwatch-warehouse-{uuid.uuid4().hex}"
     early = F.col("obs_date") < F.lit("2024-01-16").cast("date")
     rows, counters = items(s, d), None
@@ -54,7 +67,7 @@ def ingested(s: SparkSession, d: str) -> tuple[Warehouse, DataFrame]:
             counters = ingest.store_items(house, part, WINDOWS)
     path = s._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)  # goes with the driver
-    return Warehouse(s, root, readonly=True), counters
+    return root, counters
 
 
 @query
@@ -65,7 +78,7 @@ def store_items(s, d):
 @query
 def ingest_then_timeline(s, d):
     house, _ = ingested(s, d)
-    obs = stars.observations(house)
+    obs = stars.observations(house).drop("is_festival", "festival_window")
     told = timeline.price_timeline(obs, house.read("dim_date").select("date_key", "is_festival", "festival_window"))
     links = house.read("dim_listing").select("listing_id", "url")
     return told.join(links, "listing_id").select("url", "title", "category", "obs_date", "is_festival", "selling_price", "mrp", "prev_price", "price_delta", "n_observations")
@@ -93,12 +106,12 @@ def ingest_claims_star(s, d):
 @query
 def ingest_events_star(s, d):
     """Events found on the ingested observations, stored with their run, and read with listing and product."""
-    house, _ = ingested(s, d)
-    found = inflation.events(stars.observations(house), LOOSE, ("live",)).drop("evidence", "hold_days", "n_observations", "site_key", "title")
+    root, _ = ingest_anew(s, d)
+    found = inflation.events(stars.observations(Warehouse(s, root)), LOOSE, ("live",)).drop("evidence", "hold_days", "n_observations", "site_key", "title")
     found = found.withColumnsRenamed({"overstatement_pp": "discount_overstatement_pp", "rise_start": "rise_start_date", "sale_start": "sale_start_date"})
-    with Warehouse(s, house.root) as writer:
+    with Warehouse(s, root) as writer:
         ingest.append_run(writer, run_row(s, "inflation", {"min_rise_pct": 3.0}, 0, 0, "2024-02-01"), inflation_event=found)
-    stored = stars.events(Warehouse(s, house.root, readonly=True))
+    stored = stars.events(Warehouse(s, root, readonly=True))
     return stored.select("url", "title", "category", "baseline_price", "peak_price", "sale_price", "rise_pct", F.col("discount_overstatement_pp").alias("overstatement_pp"), "sale_start_date", "confidence")
 
 
@@ -110,13 +123,13 @@ def mrp_dispersion_latest_day(s, d):
 @query
 def panel_activate(s, d):
     """The panel of the products on most sites: their listings are active, others as they were."""
-    house, _ = ingested(s, d)
-    with Warehouse(s, house.root) as writer:
+    root, _ = ingest_anew(s, d)
+    with Warehouse(s, root) as writer:
         off = writer.read("dim_listing").withColumn("is_active", F.lit(0))
         writer.write("dim_listing", off)
         chosen = writer.read("dim_listing").where(F.col("site_key").isin("site1", "site2"))
         ingest.activate(writer, chosen)
-    return Warehouse(s, house.root, readonly=True).read("dim_listing").groupBy("site_key").agg(F.count("*").alias("n"), F.sum("is_active").cast("long").alias("n_active"))
+    return Warehouse(s, root, readonly=True).read("dim_listing").groupBy("site_key").agg(F.count("*").alias("n"), F.sum("is_active").cast("long").alias("n_active"))
 
 
 @query
@@ -163,18 +176,6 @@ def view_daily_prices(s, d):
     return s.sql("SELECT site_key, count(*) AS n, min(price_min_30d) AS low, max(price_max_30d) AS high FROM vw_daily_prices GROUP BY site_key")
 
 
-@query
-def coverage_by_festival(s, d):
-    house, _ = ingested(s, d)
-    return marts.festival_uplift(stars.observations(house).drop("is_festival"), dates(s)).select("site_key", "uplift_pp")
-
-
-@query
-def claims_runs(s, d):
-    house, _ = ingested(s, d)
-    return scarcity.claims(stars.claims(house)).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
 @query
 def verdict_update(s, d):
     """Review results read back into events: trimmed, lower-cased, unknown ones left out."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -38,6 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"file://{tempfile.gettempdir()}").rstrip("/")
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that it is worked out once; it goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    target = f"{shared_folder(spark)}/tagwatch-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(target)
+
+
 def query(spark: SparkSession, sql: str, *params) -> DataFrame:
     """A query with positional ? parameters."""
     return spark.sql(sql, args=list(params)) if params else spark.sql(sql)

@@ -33,6 +33,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str, readonly: bool = False):
         self.spark, self.root, self.readonly = spark, root.rstrip("/"), readonly
         self._staged: dict[str, str] = {}
+        self._scratch: list[str] = []
         self._number, self._versions = self._head()
 
     def _path(self, at: str):
@@ -75,6 +76,18 @@ class Warehouse:
         self._staged[name] = version
         return self.read(name)
 
+    def scratch(self, df: DataFrame) -> DataFrame:
+        """df written beside the tables and read again, until clear()."""
+        version = f"scratch-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/data/{version}")
+        self._scratch.append(version)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/data/{version}")
+
+    def clear(self) -> None:
+        for version in self._scratch:
+            self._drop(version)
+        self._scratch = []
+
     def _drop(self, version: str | None) -> None:
         if version:
             path, files = self._path(f"data/{version}")
@@ -111,6 +124,7 @@ class Warehouse:
         for version in self._staged.values():
             self._drop(version)
         self._staged = {}
+        self.clear()
 
     def __enter__(self) -> Warehouse:
         return self

@@ -79,8 +79,9 @@ def small_batches(spark: SparkSession) -> None:
 def map_arrow(
     df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
+    """df.mapInArrow(kernel, schema); kernels take columns by place, so their names do not matter."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(kernel, schema)
 
 
 def as_binary(column: pa.Array) -> list[bytes | None]:

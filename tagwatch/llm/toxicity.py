@@ -33,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,22 +170,27 @@ def _grams(words: list[bytes]) -> list[bytes]:
 
 
 def _merged(rows: DataFrame, mark: str) -> DataFrame:
-    """Texts that are near copies of the least text with the same mark give way to it; labels are added up."""
+    """Texts that are near copies of the least text with the same mark give way to it; labels are added up.
+
+    Only texts that share a mark move; what is broadcast has a row for each of MAX_LABELLED texts at most.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             kept = []
-            for own, least in zip(as_binary(batch.column(0)), as_binary(batch.column(1)), strict=True):
+            for own, least in zip(as_binary(batch.column(1)), as_binary(batch.column(2)), strict=True):
                 a, b = (set(_grams(x.split())) for x in (own, least))
-                kept.append(least if len(a & b) >= NEAR * len(a | b) else own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["words", "into"])
+                kept.append(len(a & b) >= NEAR * len(a | b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["key", "into"]).filter(pa.array(kept, pa.bool_()))
 
-    least = rows.groupBy(mark).agg(F.min("words").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
-    pairs = rows.join(least, mark).where("words <> least").select("words", "least")
-    into = map_arrow(pairs, kernel, "words binary, into binary").where("words <> into")
-    moved = rows.join(into, "words", "left").withColumn("into", F.coalesce("into", "words"))
-    own = F.max(F.when(F.col("words") == F.col("into"), F.struct("m1", "m2"))).alias("m")
-    return moved.groupBy("into").agg(own, F.sum("y").alias("y"), F.sum("n").alias("n")).select("m.m1", "m.m2", F.col("into").alias("words"), "y", "n")
+    shared = rows.groupBy(mark).agg(F.count("*").alias("k")).where("k > 1").select(mark)
+    near = rows.join(F.broadcast(shared), mark).select(mark, "key", "words")
+    least = near.groupBy(mark).agg(F.min(F.struct("words", "key")).alias("l"))
+    pairs = near.join(least, mark).where("key <> l.key").select("key", "words", F.col("l.words").alias("least"), F.col("l.key").alias("into"))
+    into = cut(map_arrow(pairs, kernel, "key binary, into binary"), "toxicity-copies")
+    moved = rows.join(F.broadcast(into), "key", "left").withColumn("into", F.coalesce("into", "key"))
+    sums = moved.groupBy(F.col("into").alias("key")).agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    return rows.drop("y", "n").join(F.broadcast(sums), "key")
 
 
 def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -192,19 +198,25 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     Copies would make any word of theirs look telling.  Near copies are sought by the least hashes of their
     word 5-grams, by either of two hash functions, and are merged only if they share NEAR of all their 5-grams.
+    Equal texts are told by a 128-bit hash.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 36
         for batch in blocks(batches):
             words = [alnum_words(t) for t in as_binary(batch.column(0))]
             joined = [b" ".join(w) for w in words]
             grams = [_grams(w) for w in words]
             marks = [[min(xxhash.xxh3_64_intdigest(g, seed=s) for g in own) >> 1 for own in grams] for s in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(m, pa.int64()) for m in marks), batch.column(1), pa.array(joined, pa.binary())], names=["m1", "m2", "y", "words"])
+            keys = pa.array([xxhash.xxh3_128_digest(x) for x in joined], pa.binary())
+            places = pa.array(at + np.arange(batch.num_rows))
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([keys, places, *(pa.array(m, pa.int64()) for m in marks), batch.column(1), pa.array(joined, pa.binary())], names=["key", "at", "m1", "m2", "y", "words"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")  # chosen has MAX_LABELLED rows at most
-    rows = map_arrow(joined, kernel, "m1 long, m2 long, y double, words binary")
-    rows = rows.groupBy("m1", "m2", "words").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    every = cut(map_arrow(joined, kernel, "key binary, at long, m1 long, m2 long, y double, words binary"), "toxicity-texts")
+    first = every.groupBy("key").agg(F.min("at").alias("at"), F.sum("y").alias("y"), F.count("*").alias("n"))
+    rows = every.drop("y").join(F.broadcast(first), ["key", "at"]).drop("at")
     for mark in ("m1", "m2"):
         rows = _merged(rows, mark)
     return rows.select("words", (F.col("y") / F.col("n")).alias("y"))

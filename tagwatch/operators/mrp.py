@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tagwatch.functions.numbers import ends_in_99, exact_avg, pct, rounded
 
+#: Parts in which a site's list prices are ranked first.
+SALTS = 64
+
 
 def one_quote_per_site(quotes: DataFrame, by: str = "least") -> DataFrame:
     """A quote for each product and site: the least list price, or (by="first") that of the least listing."""
@@ -106,13 +109,10 @@ def credibility(obs: DataFrame, sources: tuple[str, ...] | None = ("live",)) ->
     rows = latest_per_listing(obs)
     rows = rows if sources is None else rows.where(F.col("source").isin(*sources))
     values = rows.groupBy("site_key", "mrp").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("site_key").orderBy(F.desc("n"), "mrp"))
-    top = values.withColumn("place", place).groupBy("site_key").agg(
-        F.sum("n").alias("n_products"),
-        F.count("*").alias("n_distinct_mrp"),
-        F.sum(F.when(F.col("place") <= 5, F.col("n")).otherwise(0)).alias("top5"),
-        F.sum(F.when(ends_in_99(F.col("mrp")), F.col("n")).otherwise(0)).alias("n_99"),
+    counts = values.groupBy("site_key").agg(
+        F.sum("n").alias("n_products"), F.count("*").alias("n_distinct_mrp"), F.sum(F.when(ends_in_99(F.col("mrp")), F.col("n")).otherwise(0)).alias("n_99")
     )
+    top = counts.join(commonest(values, 5).groupBy("site_key").agg(F.sum("n").alias("top5")), "site_key")
     discounts = rows.groupBy("site_key").agg(
         F.median("computed_discount_pct").alias("mid"), F.min("computed_discount_pct").alias("low"), F.max("computed_discount_pct").alias("high")
     )
@@ -131,6 +131,17 @@ def credibility(obs: DataFrame, sources: tuple[str, ...] | None = ("live",)) ->
     return out.withColumn("verdict", verdict())
 
 
+def commonest(values: DataFrame, k: int) -> DataFrame:
+    """The k commonest list prices of each site with their place; of equal ones the smaller.
+
+    First within SALTS parts of a site, so that no task sorts all prices of one, then among the parts' k.
+    """
+    order = F.desc("n"), "mrp"
+    salted = values.withColumn("salt", F.pmod(F.xxhash64("mrp"), F.lit(SALTS)))
+    near = salted.withColumn("place", F.row_number().over(Window.partitionBy("site_key", "salt").orderBy(*order))).where(F.col("place") <= k)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("site_key").orderBy(*order))).where(F.col("place") <= k).drop("salt")
+
+
 def verdict():
     # the wording and the bounds are fixed values
     return (
@@ -144,8 +155,7 @@ def verdict():
 def most_repeated(obs: DataFrame, k: int = 6) -> DataFrame:
     """The k commonest list prices of each site that occur more than once."""
     values = latest_per_listing(obs.where(F.col("source") == "live")).groupBy("site_key", "mrp").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("site_key").orderBy(F.desc("n"), "mrp"))
-    return values.withColumn("place", place).where((F.col("place") <= k) & (F.col("n") > 1))
+    return commonest(values, k).where("n > 1")
 
 
 def compare(profiles: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.rename_columns(_NAMES).to_pylist():
                 opened = Segment(row)
                 wide = memoryview(opened.all().astype("<u4")).cast("B")
                 ends = np.cumsum(opened.lengths)
@@ -197,7 +197,7 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.rename_columns(_NAMES).to_pylist():
                 n = Segment(row).count(token)
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int32()), pa.array([row["segment"]], pa.int32()), pa.array([n], pa.int64())], names=["shard", "segment", "n"])
 

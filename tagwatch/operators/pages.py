@@ -287,11 +287,12 @@ def selector_health(pages: DataFrame, item: str, selectors: Mapping[str, str]) -
 
 def category_health(products: DataFrame) -> DataFrame:
     """By category: products found, and whether no other category holds the very same ones.  products: (category, url)."""
-    same = fingerprint_collisions(products)
-    hit = same.select(F.col("category_a").alias("category")).union(same.select("category_b")).distinct().withColumn("collides", F.lit(True))
-    counts = products.groupBy("category").agg(F.count_distinct("url").alias("products_found"))
-    told = counts.join(hit, "category", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))
-    return told.withColumn("ok", (F.col("products_found") > 0) & ~F.col("collides"))
+    # sets of products: one that a category lists twice counts once
+    mark = F.coalesce(F.sum(F.when(F.col("url").isNotNull(), F.xxhash64("url").cast("decimal(38,0)"))), F.lit(0).cast("decimal(38,0)"))
+    prints = products.distinct().groupBy("category").agg(F.count("url").alias("products_found"), mark.alias("mark"))
+    same = prints.groupBy("products_found", "mark").agg(F.count("category").alias("alike"))
+    told = prints.join(same, ["products_found", "mark"]).withColumn("collides", F.col("category").isNotNull() & (F.col("alike") > 1))
+    return told.select("category", "products_found", "collides", ((F.col("products_found") > 0) & ~F.col("collides")).alias("ok"))
 
 
 def detail_probe(pages: DataFrame) -> DataFrame:

@@ -124,6 +124,12 @@ def test_one_product_has_one_key(spark):
     assert got.canonical_title == "Sony Wh-1000Xm5 Cafe"
 
 
+def test_categories_of_the_same_products_collide(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", "x"), ("d", None), ("d", "z")]
+    got = {r.category: (r.products_found, r.collides, r.ok) for r in pages.category_health(spark.createDataFrame(rows, "category string, url string")).collect()}
+    assert got == {"a": (2, True, False), "b": (2, True, False), "c": (1, False, True), "d": (1, False, True)}
+
+
 def test_features_are_scale_free(spark):
     base = [100.0] * 15 + [140.0] * 8 + [95.0] * 7
     rows = {r.listing_id: r for r in features.features(series(spark, base, [p * 1000 for p in base], [25.0] * 20, [200.0 - k for k in range(30)], [5.0, 6.0])).collect()}

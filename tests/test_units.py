@@ -124,6 +124,20 @@ def test_one_product_has_one_key(spark):
     assert got.canonical_title == "Sony Wh-1000Xm5 Cafe"
 
 
+def test_title_parts_are_worked_out_once():
+    # what is named twice in an expression is run twice, in lambdas for each word
+    assert repr(titles.parse_title(F.col("x"))).count("regexp") < 30 and repr(titles.brand_of(F.col("x"))).count("regexp") == 1
+
+
+@pytest.mark.parametrize(
+    ("title", "key", "brand"),
+    [("Bose by Sony", "bose|by sony", "bose"), ("the iPhone by Samsung", "apple|iphone by samsung", "apple"), ("Boats HPx lg", "lg|boats hpx", "lg"), (None, "unknown|unknown", None), ("Thing 12345 8gb", "unknown|thing|8gb", None)],
+)
+def test_brands_and_keys(spark, title, key, brand):
+    t = spark.createDataFrame([(title,)], "x string").select(titles.parse_title(F.col("x")).alias("t")).first().t
+    assert (t.match_key, t.brand) == (key, brand)
+
+
 def test_categories_of_the_same_products_collide(spark):
     rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", "x"), ("d", None), ("d", "z")]
     got = {r.category: (r.products_found, r.collides, r.ok) for r in pages.category_health(spark.createDataFrame(rows, "category string, url string")).collect()}

@@ -92,6 +92,14 @@ def test_ingest(spark, tmp_path):
     assert stored(spark, root)["stored"] == 0  # an empty batch
 
 
+def test_long_numbers_tell_products_without_a_brand_apart(spark, tmp_path):
+    named = {1: "item 10000", 2: "item 20000", 3: "Item 20000", 4: "Samsung Galaxy S21 10000", 5: "Samsung Galaxy S21 20000"}
+    told = stored(spark, str(tmp_path), *(item(k, url=f"https://shop.example/p/{k}", raw_title=x, category=f"c{k}") for k, x in named.items()))
+    assert told["products_created"] == 3
+    obs = {r.url[-1]: (r.title, r.category) for r in stars.observations(Warehouse(spark, str(tmp_path))).collect()}
+    assert obs == {"1": ("Item 10000", "c1"), "2": ("Item 20000", "c2"), "3": ("Item 20000", "c2"), "4": ("Samsung Galaxy S21", "c4"), "5": ("Samsung Galaxy S21", "c4")}
+
+
 def test_dates_keep_all_but_festivals(spark, tmp_path):
     with Warehouse(spark, str(tmp_path)) as house:
         house.write("dim_date", ingest.upsert_dates(house, "2026-06-01", "2026-06-03", []).withColumn("month_name", F.lit("mine")))

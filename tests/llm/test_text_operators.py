@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tagwatch.llm import decontamination, jaccard_join, license_scan, packing, scratch, token_shards
@@ -134,6 +135,19 @@ def test_jaccard_join_equals_brute_force(spark, docs_at_once, shingles_at_once,
     assert got == links_by_hand(docs)
 
 
+def test_a_family_that_common_shingles_hold_together_is_parted(spark, monkeypatch):
+    rng, rows, compared = np.random.default_rng(7), [], []
+    for k in range(40):
+        own = " ".join(f"w{x}" for x in rng.integers(0, 10**9, 30))
+        rows += [(2 * k, f"one line that all texts hold {own}"), (2 * k + 1, f"one line that all texts hold {own} more")]
+    compare = jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "DOCS", 8)
+    monkeypatch.setattr(jaccard_join, "_signatures", lambda sets, plans: sets.select(F.lit(1).cast("long").alias("sig"), "doc"))  # one family of all
+    monkeypatch.setattr(jaccard_join, "_compared", lambda groups: compared.append(groups.count()) or compare(groups))
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(80)} and sum(compared) <= len(rows)  # each set is sent to one group
+
+
 def test_jaccard_join_of_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(odd_rows(), DOCS)).collect()]
     assert sorted(got, key=repr) == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (None, 1, None), (5, 1, 5)], key=repr)

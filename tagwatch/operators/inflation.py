@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwatch.functions.numbers import pct, rounded
+from tagwatch.functions.once import let
 from tagwatch.operators.timeline import day_number, included, series, trailing, window_avg
 
 
@@ -76,6 +77,24 @@ def confidence(rise: Column, hold: Column, n_obs: Column, over: Column, sale: Co
     return F.when(score >= 5, "high").when(score >= 3, "medium").otherwise("low")
 
 
+def _rise(points: Column, t: Thresholds) -> Column:
+    """struct(top, rise_start, hold_days, base) of the points before a drop; null where they are no inflation."""
+
+    def of_days(top: Column, days: Column, start: Column) -> Column:
+        before = F.array_sort(F.transform(F.filter(points, lambda p: p["day"] < start), lambda p: p["price"]))
+        base = let(before, lambda b: F.when(F.size(b) >= 2, _median(b)))
+        return F.struct(top.alias("top"), start.alias("rise_start"), (F.datediff(F.array_max(days), start) + 1).alias("hold_days"), base.alias("base"))
+
+    def of_top(top: Column) -> Column:
+        elevated = F.transform(F.filter(points, lambda p: p["price"] >= top * 0.98), lambda p: p["day"])
+        return let(elevated, lambda days: let(F.array_min(days), lambda start: of_days(top, days, start)))
+
+    def inflated(r: Column) -> Column:
+        return (r["top"] > 0) & (r["base"] > 0) & (pct(r["top"] - r["base"], r["base"]) >= t.min_rise_pct) & (r["hold_days"] >= t.min_hold_days)
+
+    return let(let(F.array_max(F.transform(points, lambda p: p["price"])), of_top), lambda r: F.when(inflated(r), r))
+
+
 def drops(obs: DataFrame, t: Thresholds = Thresholds(), sources: tuple[str, ...] | None = ("live",)) -> DataFrame:
     """Every drop preceded by an inflation, with its figures and evidence.
 
@@ -102,15 +121,12 @@ def drops(obs: DataFrame, t: Thresholds = Thresholds(), sources: tuple[str, ...]
     seen = seen.withColumn("drop", F.coalesce(is_drop, F.lit(False)))
     needed = seen.withColumn("needed", F.max("drop").over(by_day.rangeBetween(1, t.lookback_days)))
     point = F.when(F.col("needed"), F.struct(F.col("obs_date").alias("day"), F.col("sale").alias("price")))
-    sharp = needed.withColumn("points", F.collect_list(point).over(back)).where(F.col("drop") & (F.size("points") >= 4))
-    peaked = sharp.withColumn("top", F.array_max(F.transform("points", lambda p: p["price"]))).where("top > 0")
-    days = peaked.withColumn("elevated", F.transform(F.filter("points", lambda p: p["price"] >= F.col("top") * 0.98), lambda p: p["day"]))
-    days = days.withColumn("rise_start", F.array_min("elevated")).withColumn("hold_days", F.datediff(F.array_max("elevated"), F.col("rise_start")) + 1)
-    before = days.withColumn("before", F.array_sort(F.transform(F.filter("points", lambda p: p["day"] < F.col("rise_start")), lambda p: p["price"])))
-    based = before.where(F.size("before") >= 2).withColumn("base", _median(F.col("before"))).where("base > 0")
-    base, top, sale = F.col("base"), F.col("top"), F.col("sale")
+    gathered = needed.withColumn("points", F.collect_list(point).over(back))
+    # one expression for all figures: as columns with filters between them, each filter would work out all before it again
+    raised = gathered.withColumn("r", F.when(F.col("drop") & (F.size("points") >= 4), _rise(F.col("points"), t))).where("r is not null")
+    base, top, sale, rise_start = F.col("r.base"), F.col("r.top"), F.col("sale"), F.col("r.rise_start")
     claimed, real = (top - sale) / top * 100, (base - sale) / base * 100
-    return based.where(((top - base) / base * 100 >= t.min_rise_pct) & (F.col("hold_days") >= t.min_hold_days)).select(
+    return raised.select(
         "listing_id",
         "product_id",
         "site_key",
@@ -119,10 +135,10 @@ def drops(obs: DataFrame, t: Thresholds = Thresholds(), sources: tuple[str, ...]
         rounded(top).alias("peak_price"),
         rounded(sale).alias("sale_price"),
         rounded((top - base) / base * 100).alias("rise_pct"),
-        "hold_days",
-        "rise_start",
+        F.col("r.hold_days").alias("hold_days"),
+        rise_start.alias("rise_start"),
         F.col("obs_date").alias("sale_start"),
-        F.datediff("obs_date", "rise_start").alias("days_between"),
+        F.datediff("obs_date", rise_start).alias("days_between"),
         rounded(claimed).alias("claimed_discount_pct"),
         rounded(real).alias("real_discount_pct"),
         rounded(claimed - real).alias("overstatement_pp"),

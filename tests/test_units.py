@@ -85,6 +85,12 @@ def test_events_equal_plain_python(spark):
     assert all(abs(got[k][0] - want[k][0]) <= 0.011 and got[k][1] == want[k][1] for k in want)
 
 
+def test_figures_of_a_drop_are_worked_out_once(spark):
+    # once in the filter, once for what it lets through
+    plan = inflation.drops(series(spark, RAISED))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 2 and plan.count("collect_list(") == 1
+
+
 @pytest.mark.parametrize(
     ("raw", "value"),
     [("₹1,29,999", 129999), ("Rs. 45,990", 45990), ("Rs 500", 500), ("₹1,299.00", 1299), ("MRP ₹59,999", 59999), ("M.R.P.: ₹79,900", 79900), ("from ₹999.50", 999.5), ("1.299.00", 1299), ("", None), ("N/A", None),

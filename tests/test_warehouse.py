@@ -100,6 +100,23 @@ def test_long_numbers_tell_products_without_a_brand_apart(spark, tmp_path):
     assert obs == {"1": ("Item 10000", "c1"), "2": ("Item 20000", "c2"), "3": ("Item 20000", "c2"), "4": ("Samsung Galaxy S21", "c4"), "5": ("Samsung Galaxy S21", "c4")}
 
 
+def test_a_batch_is_run_once_and_a_title_parsed_once(spark, tmp_path):
+    made, schema = spark.sparkContext.accumulator(0), f"{ingest.ITEM}, obs_date date"
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [item(k, day=k, url=f"https://shop.example/p/{k % 2}", raw_title=f"item {k % 2}") for k in range(6)]
+    items = spark.createDataFrame([*rows, item(6, url="")], schema).mapInArrow(counted, schema)
+    with Warehouse(spark, str(tmp_path)) as house:
+        told = ingest.store_items(house, items).first()
+    assert (told.stored, told.skipped, told.products_created, made.value) == (6, 1, 2, 7)
+    plan = ingest.prepared(spark.createDataFrame(rows, schema).repartition(2))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[raw_title" in plan and "Broadcast" not in plan
+
+
 def test_dates_keep_all_but_festivals(spark, tmp_path):
     with Warehouse(spark, str(tmp_path)) as house:
         house.write("dim_date", ingest.upsert_dates(house, "2026-06-01", "2026-06-03", []).withColumn("month_name", F.lit("mine")))
